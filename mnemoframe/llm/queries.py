@@ -7,10 +7,34 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.llm import batch_dedup, format_dups, leakage, shared_spans
+from mnemoframe.llm import batch_dedup, format_dups, leakage, packing, shared_spans, vector_neighbors
 from mnemoframe.session import materialize, table
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = vector_neighbors.usable_vectors(table(spark, sf_dir, "vector_points"))
+    near = vector_neighbors.nearest(points, k=10, min_similarity=0.8)
+    return near.select(F.least("no", "neighbour_no").alias("a_no"), F.greatest("no", "neighbour_no").alias("b_no")).distinct()
+
+
+def p1_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of the true neighbours at 0.80 or more that the index finds, for the points whose number 20 divides."""
+    points = vector_neighbors.usable_vectors(table(spark, sf_dir, "vector_points"))
+    asked = points.filter("no % 20 = 0")
+    true = vector_neighbors.exact_nearest(points, asked, k=10, min_similarity=0.8).select("no", "neighbour_no")
+    found = vector_neighbors.nearest(points, k=10, min_similarity=0.8).filter("no % 20 = 0").select("no", "neighbour_no", F.lit(1).alias("hit"))
+    return true.join(found, ["no", "neighbour_no"], "left").agg(
+        F.count("*").alias("true_pairs"), F.count("hit").alias("found_pairs"), F.round(F.count("hit") / F.count("*"), 4).alias("recall")
+    )
+
+
+def p1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ten most similar points, by brute force, of the points whose number 20 divides."""
+    points = vector_neighbors.usable_vectors(table(spark, sf_dir, "vector_points"))
+    near = vector_neighbors.exact_nearest(points, points.filter("no % 20 = 0"), k=10)
+    return near.select("no", "neighbour_no", F.round("similarity", 5).alias("similarity"), "rank")
+
+
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = table(spark, sf_dir, "cognee_data_record")
     found = batch_dedup.repeated_records(records).select("first_no", "dup_no")
@@ -48,6 +72,15 @@ def p5_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _copies(spark, sf_dir).filter("keep_no = copy_no").select("src", "keep_no", "copies")
 
 
+def p6_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The context window of every document, or of every piece of one longer than the capacity."""
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
+def p6_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(p6_windows(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_leaks(spark, sf_dir).filter("edits = 0").select("doc_id", "item_id")
 
@@ -66,7 +99,7 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p2_found, p2_add_results, p5_found, p5_distinct, p7_found, p7_leaks, p8_found, p8_share)}
+    return {f.__name__: f for f in (p1_found, p1_recall, p1_exact_topk, p2_found, p2_add_results, p5_found, p5_distinct, p6_windows, p6_fill, p7_found, p7_leaks, p8_found, p8_share)}
 
 
 _P5_KEYS = r"""
