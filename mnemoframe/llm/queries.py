@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.llm import batch_dedup, format_dups, leakage, packing, shared_spans, vector_neighbors
+from mnemoframe.llm import batch_dedup, format_dups, leakage, name_variants, packing, pii, shared_spans, vector_neighbors
 from mnemoframe.session import materialize, table
 
 
@@ -55,6 +55,33 @@ def p2_add_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("add_no", "added", F.size("added").alias("added_count"), "deduplicated", F.size("deduplicated").alias("deduplicated_count"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = [pii.find_items(table(spark, sf_dir, src), no).withColumn("src", F.lit(src)) for src, no in (("memories", "memory_no"), ("messages", "message_no"))]
+    return parts[0].unionByName(parts[1]).select("src", "row_no", "kind", "start_pos", "end_pos").distinct()
+
+
+def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text with typed placeholders in place of its items."""
+    parts = [pii.redact(table(spark, sf_dir, src), no).withColumn("src", F.lit(src)) for src, no in (("memories", "memory_no"), ("messages", "message_no"))]
+    return parts[0].unionByName(parts[1]).select("src", "row_no", "redacted", "n_items")
+
+
+def _named_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    empty = F.lit(None).cast("string")
+    nodes = table(spark, sf_dir, "graph_node").filter("type = 'Entity' and get_json_object(properties, '$.is_a') in ('person', 'organization')")
+    nodes = nodes.select("id", "name", empty.alias("kind"), "properties", empty.alias("description"))
+    return nodes.unionByName(table(spark, sf_dir, "entity_results").select("id", "name", F.col("entity_type").alias("kind"), empty.alias("properties"), "description"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.same_name_pairs(_named_rows(spark, sf_dir))
+
+
+def p4_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per named row with the entity that it names."""
+    return name_variants.same_names(_named_rows(spark, sf_dir))
+
+
 def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     memories = format_dups.copy_keys(table(spark, sf_dir, "memories").select("memory_no", "content"))
     records = format_dups.copy_keys(table(spark, sf_dir, "cognee_data_record").select("record_no", "content", "extension"), "content", "extension")
@@ -99,7 +126,7 @@ def p8_share(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_recall, p1_exact_topk, p2_found, p2_add_results, p5_found, p5_distinct, p6_windows, p6_fill, p7_found, p7_leaks, p8_found, p8_share)}
+    return {f.__name__: f for f in (p1_found, p1_recall, p1_exact_topk, p2_found, p2_add_results, p3_found, p3_redacted, p4_found, p4_entities, p5_found, p5_distinct, p6_windows, p6_fill, p7_found, p7_leaks, p8_found, p8_share)}
 
 
 _P5_KEYS = r"""
