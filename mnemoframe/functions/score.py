@@ -49,7 +49,8 @@ def feedback_rating(score: Column) -> Column:
 
 def stream_weight(start: Column, ratings: Column, alpha: float) -> Column:
     """Weight after folding in the ratings in their order, rounded to four places each time."""
-    step = lambda w, r: F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), w + alpha * (r - w))), 4)
+    clip = lambda x: F.greatest(F.lit(0.0), F.least(F.lit(1.0), x))
+    step = lambda w, r: F.floor(clip(w + alpha * (r - w)) * 10000.0 + 0.5).cast("double") / 10000.0
     return F.aggregate(ratings, start, step)
 
 

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemoframe.plans import graph, ranking
+from mnemoframe.plans import graph, ingest, ledger, ranking
 
-MODULES: list = [ranking, graph]
+MODULES: list = [ranking, graph, ledger, ingest]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
