@@ -90,3 +90,21 @@ ROUTER_PATTERNS = [
 ]
 NEGATIONS = ["not", "n't", "no", "never", "without", "lack"]
 NEGATION_WINDOW, ROUTER_DEFAULT, ROUTER_BASE = 20, "GraphCompletion", 2.0
+
+# fixed values: stage of a node by its type (anything else is other), the order of the stages, and relationships that only hold structure
+STAGE_BY_TYPE = {
+    "TextDocument": "document",
+    "DocumentChunk": "chunk",
+    "TextSummary": "summary",
+    "GlobalContextSummary": "context",
+    "Entity": "entity",
+    "EntityType": "type",
+    "DatabaseSchema": "schema",
+    "SchemaTable": "schema",
+    "SchemaRelationship": "schema",
+    "TableType": "schema",
+    "TableRow": "schema",
+    "ColumnValue": "schema",
+}
+STAGE_ORDER = ["document", "chunk", "entity", "type", "summary", "context", "schema", "other"]
+STRUCTURAL_RELATIONS = ["contains", "is_a", "part_of", "is_part_of", "has_relationship", "made_from", "summarized_in"]

@@ -73,7 +73,7 @@ def web_site_id(domain: Column) -> Column:
 
 
 def learning_id(statement: Column) -> Column:
-    return uuid5(F.trim(F.regexp_replace(F.lower(statement), r"\s+", " ")))
+    return uuid5(F.concat(F.lit("TruthLearning:"), F.trim(F.regexp_replace(F.lower(statement), r"\s+", " "))))
 
 
 def stable_signature(ids: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mnemoframe.functions import ids, jsonx, score, text
 from mnemoframe.functions.fixed import STOP_WORDS
 from mnemoframe.functions.ids import uuid5_sql
-from mnemoframe.operators import graph, ledger
+from mnemoframe.operators import graph, ledger, visual
 from mnemoframe.session import table
 
 
@@ -255,16 +255,12 @@ def degree_importance(spark, sf):
     return n.crossJoin(F.broadcast(top)).select("id", F.round(F.log1p("degree") / F.log1p("top"), 6).alias("importance"))
 
 
-_STAGES = {"DocumentChunk": "chunk", "TextSummary": "summary", "Entity": "entity"}
-
-
 def edge_bundles(spark, sf):
     """Edges bundled by the stages of their ends and by relationship."""
-    stage = F.coalesce(F.create_map(*[F.lit(x) for kv in _STAGES.items() for x in kv])[F.col("type")], F.lit("other"))
-    n = table(spark, sf, "graph_node").select("id", stage.alias("stage"))
+    n = table(spark, sf, "graph_node").select("id", visual.stage(F.col("type")).alias("stage"))
     e = table(spark, sf, "graph_edge").select("source_id", "target_id", "relationship_name").distinct()
     e = e.join(n.select(F.col("id").alias("source_id"), F.col("stage").alias("s")), "source_id").join(n.select(F.col("id").alias("target_id"), F.col("stage").alias("t")), "target_id")
-    kind = F.when(F.lower("relationship_name").isin("is_part_of", "contains", "is_a"), "structural").otherwise("semantic")
+    kind = visual.edge_class(F.col("relationship_name"))
     return e.groupBy(F.concat_ws("|", "s", "t", kind, "relationship_name").alias("bundle")).agg(F.count("*").alias("n"))
 
 
@@ -381,7 +377,7 @@ ORACLE = {
     "label_priority_threshold": f"WITH {_E}, o AS (SELECT degree, row_number() OVER (ORDER BY degree) AS i, count(*) OVER () AS n FROM d) SELECT degree::DOUBLE AS threshold FROM o WHERE i = floor(0.75 * (n - 1)) + 1",
     "degree_importance": f"WITH {_E}, x AS (SELECT id, coalesce(degree, 0) AS g FROM graph_node LEFT JOIN d USING (id)) SELECT id, round(ln(1 + g) / ln(1 + greatest((SELECT max(g) FROM x), 1)), 6) AS importance FROM x",
     "edge_bundles": f"""WITH {_E}, n AS (SELECT id, CASE type WHEN 'DocumentChunk' THEN 'chunk' WHEN 'TextSummary' THEN 'summary' WHEN 'Entity' THEN 'entity' ELSE 'other' END AS stage FROM graph_node)
-      SELECT s.stage || '|' || t.stage || '|' || CASE WHEN relationship_name IN ('is_part_of', 'contains', 'is_a') THEN 'structural' ELSE 'semantic' END || '|' || relationship_name AS bundle, count(*) AS n FROM e JOIN n s ON s.id = source_id JOIN n t ON t.id = target_id GROUP BY 1""",
+      SELECT s.stage || '|' || t.stage || '|' || CASE WHEN relationship_name IN ('is_part_of', 'contains', 'is_a', 'made_from') THEN 'structural' ELSE 'semantic' END || '|' || relationship_name AS bundle, count(*) AS n FROM e JOIN n s ON s.id = source_id JOIN n t ON t.id = target_id GROUP BY 1""",
     "edge_weight_maps": "SELECT source_id, target_id, relationship_name, updated_at, try_cast(properties->>'weight' AS DOUBLE) AS weight FROM graph_edge WHERE properties->>'weight' IS NOT NULL",
     "used_element_ids": "SELECT query_no, string_agg(DISTINCT edge, ';' ORDER BY edge) AS used FROM (SELECT query_no, unnest(edges) AS edge FROM entity_results) GROUP BY 1",
     "learning_statements": "SELECT min(memory_no) AS memory_no, md5(lower(trim(content, ' '))) AS digest FROM memories WHERE trim(content, ' ') <> '' GROUP BY 2",

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemoframe.plans import graph, ingest, ledger, ranking
+from mnemoframe.plans import graph, ingest, ledger, ranking, retrieval
 
-MODULES: list = [ranking, graph, ledger, ingest]
+MODULES: list = [ranking, graph, ledger, ingest, retrieval]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -37,6 +37,24 @@ HTML_RULES = [
     ("li", None, None, True, "\n"),
     ("dl", None, None, True, "\n"),
     ("table", None, None, True, "\n\n"),
+    ("caption", None, None, True, "\n"),
+    ("code", None, None, True, "\n"),
+    ("figure", None, None, True, "\n\n"),
+    ("figcaption", None, None, True, "\n"),
+    ("img", None, "alt", True, " "),
+    ("a", None, None, True, " "),
+    ("strong", None, None, True, " "),
+    ("em", None, None, True, " "),
+    ("mark", None, None, True, " "),
+    ("time", None, None, True, " "),
+    ("data", None, None, True, " "),
+    ("section", None, None, True, "\n\n"),
+    ("aside", None, None, True, "\n\n"),
+    ("details", None, None, True, "\n"),
+    ("summary", None, None, True, "\n"),
+    ("nav", None, None, True, "\n"),
+    ("footer", None, None, True, "\n"),
+    ("div", (("role", "main"), ("role", "article"), ("class", "content"), ("id", "content")), None, True, "\n\n"),
 ]
 _VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 _HIDDEN = frozenset(("script", "style", "noscript"))
@@ -80,7 +98,8 @@ def extract_html(page: str, rules: list[tuple] = HTML_RULES) -> str:
     parser.close()
     pieces = []
     for tag, test, attribute, every, joint in rules:
-        found = [e for e in parser.elements if e[0] == tag and (test is None or e[1].get(test[0]) == test[1])]
+        tests = () if test is None else test if isinstance(test[0], tuple) else (test,)
+        found = [e for e in parser.elements if e[0] == tag and (not tests or any(v in (e[1].get(k) or "").split() if k == "class" else e[1].get(k) == v for k, v in tests))]
         texts = [(e[1].get(attribute) or "" if attribute else " ".join(e[2])).strip() for e in (found if every else found[:1])]
         piece = joint.join(t for t in texts if t).strip()
         if piece:
