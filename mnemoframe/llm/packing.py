@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe.session import materialize
 
-CAPACITY, BUCKETS = 2048, 128
+CAPACITY, BUCKETS = 2048, 256
 #: Rows that one shard of a bucket should have.
 SHARD_ROWS = 200_000
 
