@@ -63,3 +63,10 @@ def hinted(df: DataFrame, rows: int = 200_000) -> DataFrame:
     from pyspark.sql import functions as F
 
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def clean_up(spark: SparkSession) -> None:
+    """Remove what ``materialize`` wrote for this application; results not yet read are lost."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/mnemoframe")
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
