@@ -54,3 +54,31 @@ def timeline(nodes: DataFrame, gap_ms: int) -> DataFrame:
     """Runs of creation times ``t_created`` (milliseconds): begin, end and number of each cluster."""
     clustered = ledger.gap_sessions(nodes.withColumn("_all", F.lit(1)), ["_all"], "t_created", "id", gap_ms)
     return clustered.groupBy("cluster").agg(F.min("t_created").alias("t0"), F.max("t_created").alias("t1"), F.count("*").alias("n"))
+
+
+def schema_graph(tables: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Fields and relations of schema tables ``(id, name, schema JSON)`` with ``columns`` and ``foreign_keys`` lists."""
+    shape = "columns array<struct<name:string,type:string>>, foreign_keys array<struct<column:string,ref_table:string,ref_column:string>>"
+    read = tables.select("id", "name", F.from_json("schema", shape).alias("s"))
+    fields = read.select("id", "name", F.posexplode("s.columns").alias("place", "f")).select("id", "name", "place", F.col("f.name").alias("field"), F.col("f.type").alias("field_type"))
+    keys = read.select("id", "name", F.explode("s.foreign_keys").alias("k")).select(F.col("name").alias("source"), F.col("k.column").alias("field"), F.col("k.ref_table").alias("target"), F.col("k.ref_column").alias("target_field"))
+    return fields, keys.join(tables.select(F.col("name").alias("target")), "target", "left_semi")
+
+
+def operation_layer(nodes: DataFrame) -> DataFrame:
+    """Nodes per pipeline and task that made them."""
+    return nodes.groupBy(F.coalesce("source_pipeline", F.lit("unknown")).alias("pipeline"), F.coalesce("source_task", F.lit("unknown")).alias("task")).agg(F.count("*").alias("nodes"), F.count_distinct("type").alias("types"))
+
+
+def memory_map(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """Chunks of every document in their order with the number of entities that each mentions."""
+    docs = edges.filter("relationship_name = 'is_part_of'").select(F.col("source_id").alias("chunk_id"), F.col("target_id").alias("document_id"))
+    chunks = nodes.filter("type = 'DocumentChunk'").select(F.col("id").alias("chunk_id"), "chunk_index")
+    entities = nodes.filter("type = 'Entity'").select(F.col("id").alias("target_id"))
+    counts = edges.select("source_id", "target_id").distinct().join(entities, "target_id", "left_semi").groupBy(F.col("source_id").alias("chunk_id")).agg(F.count("*").alias("entities"))
+    return docs.join(chunks, "chunk_id").join(counts, "chunk_id", "left").select("document_id", "chunk_id", "chunk_index", F.coalesce("entities", F.lit(0)).alias("entities"))
+
+
+def colours(values: DataFrame, column: str) -> DataFrame:
+    """A stable colour for each distinct value, from its hash."""
+    return values.select(column).distinct().withColumn("colour", F.concat(F.lit("#"), F.left(F.md5(column), F.lit(6))))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemoframe.plans import graph, ingest, ledger, ranking, retrieval
+from mnemoframe.plans import graph, ingest, ledger, ranking, records, retrieval
 
-MODULES: list = [ranking, graph, ledger, ingest, retrieval]
+MODULES: list = [ranking, graph, ledger, ingest, retrieval, records]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -16,7 +16,7 @@ sys.path.insert(0, str(Path(__file__).parent))
 import oracle
 from mnemoframe import registry
 from mnemoframe.functions import chunks, ids, jsonx, score, text, vector
-from mnemoframe.operators import chunking, graph, improve, ledger, ontology, router, visual
+from mnemoframe.operators import chunking, graph, improve, ledger, ontology, records, router, visual
 from mnemoframe.plans import pipeline, retrieval
 from mnemoframe.sources import loaders, tables
 from mnemoframe.streaming import streams
@@ -268,6 +268,36 @@ def test_empty_graph(spark):
     assert ledger.percentile_lower(spark.createDataFrame([], "x double"), "x", 0.75).first().threshold == 0
 
 
+# records
+
+
+def test_delete_keeps_shared_data(spark):
+    links = spark.createDataFrame([("d1", "x"), ("d1", "y"), ("d2", "y")], "dataset_id string, data_id string")
+    targets = links.filter("dataset_id = 'd1'")
+    nodes = spark.createDataFrame([("x", "n1", "Entity"), ("y", "n2", "Entity"), ("y", "n3", "Entity"), ("y", "n4", "Document")], "data_id string, id string, type string")
+    edges = spark.createDataFrame([("x", "n1", "n2", "r"), ("y", "n2", "n3", "r"), ("y", "n2", "n4", "r")], "data_id string, source_id string, target_id string, relationship_name string")
+    soft = records.delete(links, targets, nodes, edges)
+    assert [r.data_id for r in soft["data"].collect()] == ["x"] and soft["links"].count() == 1 and soft["nodes"].count() == 3 and soft["edges"].count() == 2
+    hard = records.delete(links, targets, nodes, edges, hard=True)
+    assert {r.id for r in hard["nodes"].collect()} == {"n2", "n4"} and hard["edges"].count() == 1
+
+
+def test_scopes_and_replay(spark):
+    assert records.recall_scopes(None, True) == ["session", "graph"] and records.recall_scopes("auto", False) == ["graph"]
+    assert records.recall_scopes(["trace", "graph", "trace"], True) == ["trace", "graph"] and len(records.recall_scopes("all", False)) == 4
+    with pytest.raises(ValueError):
+        records.recall_scopes("moon", False)
+    asked = spark.createDataFrame([(1, "a"), (2, "b")], "id int, prompt string")
+    tape = asked.filter("id = 1").select(F.sha2("prompt", 256).alias("digest"), F.lit("yes").alias("answer"))
+    assert {(r.id, r.answer) for r in records.replayed(asked, tape).collect()} == {(1, "yes"), (2, None)}
+
+
+def test_schema_graph(spark):
+    df = spark.createDataFrame([("1", "orders", '{"columns": [{"name": "id", "type": "int"}, {"name": "c", "type": "int"}], "foreign_keys": [{"column": "c", "ref_table": "customer", "ref_column": "id"}, {"column": "z", "ref_table": "gone", "ref_column": "id"}]}'), ("2", "customer", '{"columns": []}'), ("3", "bad", "x")], "id string, name string, schema string")
+    fields, keys = visual.schema_graph(df)
+    assert fields.count() == 2 and [tuple(r) for r in keys.select("source", "field", "target").collect()] == [("orders", "c", "customer")]
+
+
 # streams
 
 
