@@ -67,7 +67,7 @@ def session_log(spark, sf):
 def feedback_writes(spark, sf):
     """Scores written to messages; those outside 1 to 5 are refused."""
     m = table(spark, sf, "messages").select(F.col("message_no").alias("id"), F.lit(None).cast("int").alias("feedback_score"), F.lit(None).cast("string").alias("feedback_text"))
-    f = m.filter("id % 3 = 0").select("id", (F.col("id") % 8).cast("int").alias("feedback_score"), F.lit("t").alias("feedback_text"))
+    f = m.select("id", (F.col("id") % 8).cast("int").alias("feedback_score"), F.lit("t").alias("feedback_text"))
     return records.set_feedback(m, f).groupBy("feedback_score").agg(F.count("*").alias("n"))
 
 
@@ -105,7 +105,7 @@ def index_all(spark, sf):
 
 
 def edge_type_ids(spark, sf):
-    rows = records.index_rows(_nodes(spark, sf).limit(0), _edges(spark, sf), lambda t: F.lit(0))
+    rows = records.index_rows(_nodes(spark, sf).filter("false"), _edges(spark, sf), lambda t: F.lit(0))
     return rows.select("id", "text")
 
 
@@ -161,7 +161,7 @@ ORACLE = {
       UNION ALL SELECT 2, source_id || '/' || relationship_name || '/' || target_id, '| ' || source_id || ' | ' || relationship_name || ' | ' || target_id || ' |' FROM e WHERE relationship_name = 'knows'""",
     "property_patch": "SELECT id, '0.2' AS weight, 'thing' AS is_a, properties->>'place' AS place FROM graph_node WHERE type = 'Entity'",
     "session_log": "SELECT session_id, seq_no, max(message_no) AS message_no FROM messages GROUP BY 1, 2 HAVING coalesce(arg_max(coalesce(content, ''), message_no), '') <> ''",
-    "feedback_writes": "SELECT CASE WHEN message_no % 3 = 0 AND message_no % 8 BETWEEN 1 AND 5 THEN (message_no % 8)::INT END AS feedback_score, count(*) AS n FROM messages GROUP BY 1",
+    "feedback_writes": "SELECT CASE WHEN message_no % 8 BETWEEN 1 AND 5 THEN (message_no % 8)::INT END AS feedback_score, count(*) AS n FROM messages GROUP BY 1",
     "authorised_datasets": f"WITH {_M} SELECT DISTINCT dataset_name AS dataset_id FROM m WHERE owner_id = (SELECT min(owner_id) FROM m) OR left(dataset_name, 1) = 'a'",
     "scope_of_owner": f"WITH {_M} SELECT owner_id || '/' || dataset_name AS dataset_id, memory_no::VARCHAR AS data_id FROM m WHERE dataset_name = (SELECT min(dataset_name) FROM m)",
     "temporal_graph": """WITH q AS (SELECT query_no, min(found_at) AS a, max(found_at) AS b FROM entity_results GROUP BY 1), x AS (SELECT query_no, epoch_ms(date_trunc('day', a)) AS w, CASE WHEN b > a THEN epoch_ms(date_trunc('day', a)) END AS f, CASE WHEN b > a THEN epoch_ms(date_trunc('day', b)) END AS t FROM q)
