@@ -114,9 +114,9 @@ def _names(text: str) -> Iterator[tuple[int, int]]:
     run = 0
     for i, (a, b, w) in enumerate(words):
         low = w.lower()
-        if low not in GIVEN and w[0].isupper() and len(w) > 2 and blank(i) and initial(i + 1):
-            last = surname(i + 2)
-            if last is not None:
+        if low not in GIVEN and w[0].isupper() and len(w) > 2 and blank(i) and (initial(i + 1) or words[i + 1][2].lower() in PARTICLES):
+            last = surname(i + 2 if initial(i + 1) else i + 1)
+            if last is not None and words[last][2][0].isupper():
                 yield a, words[last][1]
         if i < run:
             pass

@@ -209,10 +209,19 @@ class _Maker:
             )
         )
 
+    def uuid(self) -> str:
+        r = self.r
+        last = "".join(str(r.randrange(10)) for _ in range(12)) if r.random() < 0.3 else f"{r.getrandbits(48):012x}"
+        return f"{r.getrandbits(32):08x}-{r.getrandbits(16):04x}-{r.getrandbits(16):04x}-{r.getrandbits(16):04x}-{last}"
+
+    def firm(self) -> str:
+        """Proper part of a firm's name, sometimes one that people are called by."""
+        return self.r.choice(sorted(SHORT)).capitalize() if self.r.random() < 0.12 else self.root(self.r.choice((1, 2)))
+
     def plain(self) -> str:
         r = self.r
-        line = self.digits(r.choice(WITHOUT).replace("{uuid}", f"{r.getrandbits(128):032x}").replace("{hex}", f"{r.getrandbits(96):024x}"))
-        for mark, make in (("{low}", lambda: self.root().lower()), ("{Root}", lambda: self.root(r.choice((1, 2)))), ("{Given}", lambda: r.choice(FULL).capitalize()), ("{Town}", self.town), ("{L}", lambda: r.choice("TXLK"))):
+        line = self.digits(r.choice(WITHOUT).replace("{uuid}", self.uuid()).replace("{hex}", f"{r.getrandbits(96):024x}"))
+        for mark, make in (("{low}", lambda: self.root().lower()), ("{Root}", self.firm), ("{Given}", lambda: r.choice(FULL).capitalize()), ("{Town}", self.town), ("{L}", lambda: r.choice("TXLK"))):
             while mark in line:
                 line = line.replace(mark, make(), 1)
         return line
@@ -225,7 +234,7 @@ def compose(texts: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int, s
         text, spans = "", []
         for _ in range(m.r.choice((1, 2, 2, 3))):
             if text:
-                text += "\n" if m.r.random() < 0.08 else " "
+                text += m.r.choice(("\n", "\n\t", "  ")) if m.r.random() < 0.1 else " "
             if m.r.random() < 0.42:
                 text += m.plain()
                 continue
@@ -238,8 +247,8 @@ def compose(texts: int, seed: int) -> Iterator[tuple[str, list[tuple[int, int, s
                 else:
                     text += part
         noise = m.r.random()
-        if noise < 0.04:
+        if noise < 0.05:
             text = "".join(c.upper() if len(c.upper()) == 1 else c for c in text)
-        elif noise < 0.08:
+        elif noise < 0.09:
             text = "".join(c.upper() if m.r.random() < 0.1 and len(c.upper()) == 1 else c for c in text)
         yield text, spans
