@@ -81,10 +81,15 @@ class _Items:
             h, i, at = zip(*rows)
             self.by_size[size] = np.array(h, np.uint64), np.array(i), np.array(at)
 
-    def search(self, text: np.ndarray, size: int, at: int, first: int, last: int) -> Iterator[tuple[int, int]]:
-        """Items and smallest distances for document word ``at``, which begins the pieces ``first:last``."""
+    def search(self, text: np.ndarray, size: int, at: int, first: int, last: int, known: set[int]) -> Iterator[tuple[int, int]]:
+        """Items and smallest distances for document word ``at``, which begins the pieces ``first:last``.
+
+        Items in ``known`` were found without an edit already.
+        """
         _, item, place = self.by_size[size]
         for k in range(first, last):
+            if self.ids[item[k]] in known:
+                continue
             w = self.words[item[k]]
             run = min(self.run, len(w))
             best = self.errors + 1
@@ -110,6 +115,7 @@ def _scan(shared):
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             best: dict[tuple[int, int], int] = {}
+            whole: dict[int, set[int]] = {}
             for part in words(batch.column(1).to_pylist(), "nfkc"):
                 owner = part.owner()
                 for size, (pieces, _, _) in items.by_size.items():
@@ -124,7 +130,9 @@ def _scan(shared):
                         d = owner[j]
                         base = part.bounds[d]
                         doc = int(ids[part.first + d])
-                        for item, edits in items.search(part.hashes[base : part.bounds[d + 1]], size, j - base, begin, end):
+                        for item, edits in items.search(part.hashes[base : part.bounds[d + 1]], size, j - base, begin, end, whole.setdefault(doc, set())):
+                            if not edits:
+                                whole[doc].add(item)
                             if edits < best.get((doc, item), 1 << 30):
                                 best[doc, item] = edits
             yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in best], pa.int64()), pa.array([k[1] for k in best], pa.int64()), pa.array(best.values(), pa.int32())], schema=_SCHEMA)

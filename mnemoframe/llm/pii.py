@@ -154,7 +154,7 @@ def _names(text: str) -> Iterator[tuple[int, int]]:
                 yield a, words[last][1]
 
 
-@lru_cache(maxsize=1 << 20)
+@lru_cache(maxsize=1 << 18)
 def _slot(feature: str) -> int:
     return zlib.crc32(feature.encode()) % SLOTS
 
