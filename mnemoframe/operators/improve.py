@@ -26,11 +26,37 @@ def apply_feedback(weights: DataFrame, entries: DataFrame, alpha: float = 0.1) -
     """
     use = eligible(entries).withColumn("rating", score.feedback_rating(F.col("feedback_score")))
     named = use.select("entry_id", "seq", "rating", F.explode(F.array_distinct(F.concat(F.coalesce("node_ids", F.array().cast("array<string>")), F.coalesce("edge_ids", F.array().cast("array<string>"))))).alias("id"))
-    ratings = named.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "entry_id", "rating"))).alias("s"))
-    folded = weights.join(ratings, "id", "left")
-    new = F.when(F.col("s").isNull(), F.col("weight")).otherwise(score.stream_weight(F.coalesce("weight", F.lit(0.5)), F.transform("s", lambda x: x["rating"]), alpha))
+    rated = weights.join(named, "id", "left").select("id", F.coalesce("weight", F.lit(0.5)).alias("weight"), "seq", "entry_id", "rating")
+    folded = stream_weights(rated, ["seq", "entry_id"], alpha)
     flags = named.join(weights.select("id", F.lit(1).alias("known")), "id", "left").groupBy("entry_id").agg((F.count("known") == F.count("*")).alias("applied"))
-    return folded.select("id", new.alias("weight")), flags
+    return folded.select("id", "weight"), flags
+
+
+def stream_weights(rated: DataFrame, order: list[str], alpha: float) -> DataFrame:
+    """``(id, weight, n)``: the weight of each id after its ratings, applied in order and rounded each time.
+
+    ``rated`` has ``id, weight`` (the weight before) and ``rating`` (null for
+    none).  Rows are sorted and read as a stream, so an id with very many
+    ratings needs no more memory than one with a single rating.
+    """
+    rows = rated.withColumn("id", F.col("id").cast("string")).repartition("id").sortWithinPartitions("id", *order).select("id", "weight", "rating")
+
+    def fold(batches):
+        key, weight, n = None, 0.0, 0
+        for batch in batches:
+            done = []
+            for i, start, r in zip(batch.id, batch.weight, batch.rating):
+                if i != key:
+                    if key is not None:
+                        done.append((key, weight, n))
+                    key, weight, n = i, start, 0
+                if not np.isnan(r):
+                    weight, n = float(np.floor(min(1.0, max(0.0, weight + alpha * (r - weight))) * 10000.0 + 0.5) / 10000.0), n + 1
+            yield pd.DataFrame(done, columns=["id", "weight", "n"])
+        if key is not None:
+            yield pd.DataFrame([(key, weight, n)], columns=["id", "weight", "n"])
+
+    return rows.mapInPandas(fold, "id string, weight double, n long")
 
 
 def edge_key(edge_id: Column) -> Column:
@@ -74,12 +100,24 @@ def truth_centroids(learnings: DataFrame, k: int = SLOTS) -> DataFrame:
     """
     keyed = learnings.withColumn("key", ids.learning_id(F.col("statement"))).groupBy("dataset_id", "key").agg(F.max_by("vector", "seq").alias("vector"))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("key")
-        slots = fold_centroids([(key, np.asarray(v, float)) for key, v in zip(pdf.key, pdf.vector)], k=k)
-        return pd.DataFrame([(pdf.dataset_id.iloc[0], i, s["count"], s["centroid"].tolist(), s["learning_ids"]) for i, s in enumerate(slots)], columns=["dataset_id", "slot", "count", "centroid", "learning_ids"])
-
-    return keyed.groupBy("dataset_id").applyInPandas(fold, "dataset_id string, slot int, count int, centroid array<double>, learning_ids array<string>")
+    columns = ["dataset_id", "slot", "count", "centroid", "learning_ids"]
+    state = lambda d, slots: pd.DataFrame([(d, i, s["count"], s["centroid"].tolist(), s["learning_ids"]) for i, s in enumerate(slots)], columns=columns)
+
+    def fold(batches):
+        dataset, slots = None, []
+        for batch in batches:
+            for d, part in batch.groupby("dataset_id", sort=False):
+                if d != dataset and slots:
+                    yield state(dataset, slots)
+                    slots = []
+                dataset = d
+                # the stream has every learning once, so nothing known needs to be looked for
+                slots = fold_centroids([(key, np.asarray(v, float)) for key, v in zip(part.key, part.vector)], slots, k)
+        if slots:
+            yield state(dataset, slots)
+
+    ordered = keyed.repartition("dataset_id").sortWithinPartitions("dataset_id", "key").select("dataset_id", "key", "vector")
+    return ordered.mapInPandas(fold, "dataset_id string, slot int, count int, centroid array<double>, learning_ids array<string>")
 
 
 def centroids_changed(old: DataFrame, new: DataFrame, tolerance: float = 1e-6) -> Column | bool:

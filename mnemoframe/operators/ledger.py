@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions.fixed import ABANDON_SECONDS, RUN_GAP_MS
+from mnemoframe.session import materialize
 
 
 def seconds_between(start: Column, end: Column) -> Column:
@@ -106,14 +107,38 @@ def scope_rows(rows: DataFrame, datasets: DataFrame) -> DataFrame:
     return rows.withColumn("dataset", member).join(datasets.select(F.col("dataset_id").alias("dataset")), "dataset", "left_semi")
 
 
+def _ranges(df: DataFrame, *order: str) -> DataFrame:
+    """``df`` written in range partitions of an order, with the partition's number ``_p``; later partitions hold larger keys."""
+    return materialize(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
+
+
+def _before(parts: DataFrame, amount: str) -> DataFrame:
+    """``(_p, _before)``: sum of the amounts of all earlier partitions; one row a partition."""
+    return parts.select("_p", F.coalesce(F.sum(amount).over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+
+
 def percentile_lower(df: DataFrame, value: str, p: float) -> DataFrame:
     """Value at the index ``floor(p * (n - 1))`` of the sorted finite numbers, 0 if there is none.
 
-    The rank is found by counting, value by value, so nothing is gathered.
+    Values are counted and range partitioned; only sums per partition are
+    brought together, so neither values nor rows meet in one task.
     """
     finite = df.filter(F.col(value).isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf")))
-    counts = finite.groupBy(value).agg(F.count("*").alias("c"))
+    counts = _ranges(finite.groupBy(value).agg(F.count("*").alias("c")), value)
     total = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"))
-    upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy(value)))
+    before = _before(counts.groupBy("_p").agg(F.sum("c").alias("c")), "c")
+    upto = counts.join(F.broadcast(before), "_p").withColumn("upto", F.sum("c").over(Window.partitionBy("_p").orderBy(value)) + F.col("_before"))
     at = F.floor(F.lit(p) * (F.col("n") - 1)) + 1
     return upto.crossJoin(F.broadcast(total)).filter(F.col("upto") >= at).agg(F.coalesce(F.min(value), F.lit(0.0)).alias("threshold"))
+
+
+def gap_clusters(df: DataFrame, at_ms: str, tie: str, gap_ms: int = RUN_GAP_MS) -> DataFrame:
+    """Like ``gap_sessions`` over all rows at once: ranges of time are clustered apart and then numbered through."""
+    timed = _ranges(df.filter(F.col(at_ms).isNotNull()), at_ms, tie)
+    ends = timed.groupBy("_p").agg(F.max(at_ms).alias("hi")).select("_p", F.lag("hi").over(Window.orderBy("_p")).alias("_last"))
+    w = Window.partitionBy("_p").orderBy(at_ms, tie)
+    new = F.when(F.col(at_ms) - F.coalesce(F.lag(at_ms).over(w), F.col("_last")) > gap_ms, 1).otherwise(0)
+    marked = timed.join(F.broadcast(ends), "_p").withColumn("_new", new)
+    before = _before(marked.groupBy("_p").agg(F.sum("_new").alias("k")), "k")
+    out = marked.join(F.broadcast(before), "_p").withColumn("cluster", F.sum("_new").over(w) + F.col("_before"))
+    return out.select(*df.columns, "cluster").unionByName(df.filter(F.col(at_ms).isNull()).withColumn("cluster", F.lit(0).cast("long")))

@@ -122,7 +122,9 @@ def closest(names: DataFrame, candidates: DataFrame, threshold: float = MATCH_TH
     a, b = F.octet_length("name"), F.octet_length("candidate")
     near = names.join(exact, "name", "left_anti").join(hinted(candidates), 2.0 * F.least(a, b) >= threshold * (a + b))
     scored = near.withColumn("similarity", gestalt(F.col("name"), F.col("candidate"))).filter(F.col("similarity") >= threshold)
-    best = scored.groupBy("name").agg(F.max_by(F.struct("candidate", "similarity"), F.struct("similarity", -F.col("seq"))).alias("b")).select("name", "b.candidate", "b.similarity")
+    scored = materialize(scored, "scored")
+    top = scored.groupBy("name").agg(F.max("similarity").alias("similarity"))
+    best = scored.join(top, ["name", "similarity"]).groupBy("name").agg(F.min_by("candidate", "seq").alias("candidate"), F.max("similarity").alias("similarity"))
     return exact.unionByName(best)
 
 

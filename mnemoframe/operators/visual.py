@@ -52,8 +52,7 @@ def labelled(nodes: DataFrame, percentile: float = 0.75) -> DataFrame:
 
 def timeline(nodes: DataFrame, gap_ms: int) -> DataFrame:
     """Runs of creation times ``t_created`` (milliseconds): begin, end and number of each cluster."""
-    clustered = ledger.gap_sessions(nodes.withColumn("_all", F.lit(1)), ["_all"], "t_created", "id", gap_ms)
-    return clustered.groupBy("cluster").agg(F.min("t_created").alias("t0"), F.max("t_created").alias("t1"), F.count("*").alias("n"))
+    return ledger.gap_clusters(nodes, "t_created", "id", gap_ms).groupBy("cluster").agg(F.min("t_created").alias("t0"), F.max("t_created").alias("t1"), F.count("*").alias("n"))
 
 
 def schema_graph(tables: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mnemoframe.functions import ids, jsonx, score, text
 from mnemoframe.functions.fixed import STOP_WORDS
 from mnemoframe.functions.ids import uuid5_sql
-from mnemoframe.operators import graph, ledger, visual
+from mnemoframe.operators import graph, improve, ledger, visual
 from mnemoframe.session import table
 
 
@@ -233,8 +233,9 @@ def temporal_interval(spark, sf):
 def feedback_stream_weights(spark, sf):
     """Weight of every user after the ratings of their purchases, in order of time."""
     e = table(spark, sf, "events").filter("event_type = 'purchase'").withColumn("rating", score.feedback_rating((F.get_json_object("props", "$.k").cast("int") % 7)))
-    r = e.filter("rating is not null").groupBy("user_id").agg(F.array_sort(F.collect_list(F.struct("ts", "event_id", "rating"))).alias("s"))
-    return r.select("user_id", F.size("s").alias("n"), score.stream_weight(F.lit(0.5), F.transform("s", lambda x: x["rating"]), 0.1).alias("weight"))
+    rated = e.filter("rating is not null").select(F.col("user_id").alias("id"), F.lit(0.5).alias("weight"), "ts", "event_id", "rating")
+    out = improve.stream_weights(rated, ["ts", "event_id"], 0.1)
+    return out.select(F.col("id").cast("long").alias("user_id"), F.col("n").cast("int").alias("n"), "weight")
 
 
 def feedback_normalize(spark, sf):

@@ -221,12 +221,9 @@ def memify_triplets(spark, sf):
 
 def gestalt_match(spark, sf):
     """Entity names of searches against the names of the graph's organisations."""
-    n = table(spark, sf, "graph_node").filter("type = 'Entity' and get_json_object(properties, '$.is_a') = 'organization'").groupBy(F.col("name").alias("candidate")).agg(F.min("id").alias("first"))
-    from pyspark.sql import Window
-
-    candidates = n.select("candidate", F.row_number().over(Window.orderBy("first")).alias("seq"))
+    n = table(spark, sf, "graph_node").filter("type = 'Entity' and get_json_object(properties, '$.is_a') = 'organization'").groupBy(F.col("name").alias("candidate")).agg(F.min("id").alias("seq"))
     names = table(spark, sf, "entity_results").filter("entity_type = 'organization'").select("name").distinct()
-    return ontology.closest(names, candidates).select("name", "candidate", F.round("similarity", 6).alias("similarity"))
+    return ontology.closest(names, n).select("name", "candidate", F.round("similarity", 6).alias("similarity"))
 
 
 def visual_nodes(spark, sf):
