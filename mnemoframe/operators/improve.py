@@ -134,6 +134,16 @@ def align_chunks(chunks: DataFrame, centroids: DataFrame, k: int = SLOTS) -> Dat
     return chunks.join(F.broadcast(basis), "dataset_id", "left").select("id", "dataset_id", vector.pad(F.coalesce(vector.coordinates(F.col("vector"), F.col("basis")), F.array().cast("array<double>")), k).alias("alignment"))
 
 
+def truth_factors(states: DataFrame, queries: DataFrame, epoch: int) -> DataFrame:
+    """``(query_id, id, truth_factor)`` of node states ``(id, alignment, truth_epoch)`` of the current epoch.
+
+    ``queries`` is ``(query_id, q_coords)``; queries without coordinates have no factor.
+    """
+    asked = queries.filter(F.size("q_coords") > 0)
+    now = states.filter(F.col("truth_epoch") == epoch)
+    return now.crossJoin(F.broadcast(asked)).select("query_id", "id", vector.truth_factor(F.col("alignment"), F.col("q_coords")).alias("truth_factor"))
+
+
 def memify(nodes: DataFrame, edges: DataFrame, dimensions: int = 32) -> DataFrame:
     """Triplets of the graph with identifiers and (offline) vectors, ready for the index."""
     t = graph.triplets(nodes, edges)

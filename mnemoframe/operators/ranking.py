@@ -71,10 +71,11 @@ def nearest(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "c
     return top_k(scored, ["query_id"], k, F.desc("score"), F.asc("id"))
 
 
-def fuse(lanes: dict[str, DataFrame], k: int, weights: DataFrame | None = None) -> DataFrame:
+def fuse(lanes: dict[str, DataFrame], k: int, weights: DataFrame | None = None, truth: DataFrame | None = None) -> DataFrame:
     """Reciprocal-rank fusion of lanes ``(query_id, id, rank)``; the first rank of a row in a lane counts.
 
-    ``weights`` (``id, importance_weight``) multiplies by the importance factor.
+    ``weights`` (``id, importance_weight``) multiplies by the importance factor,
+    ``truth`` (``query_id, id, truth_factor``) by its factor, 1 where there is none.
     """
     width = score.rrf_k(k)
     tagged = None
@@ -87,6 +88,8 @@ def fuse(lanes: dict[str, DataFrame], k: int, weights: DataFrame | None = None)
     factor = F.lit(1.0)
     if weights is not None:
         fused, factor = fused.join(weights, "id", "left"), score.importance_factor(F.col("importance_weight"))
+    if truth is not None:
+        fused, factor = fused.join(truth, ["query_id", "id"], "left"), factor * F.coalesce("truth_factor", F.lit(1.0))
     fused = fused.withColumn("score", F.round(F.col("raw") * factor, 8))
     return top_k(fused, ["query_id"], k, F.desc("score"), F.desc("rrf"), F.asc("best"), F.asc("id")).select("query_id", "id", "score", "rrf", "rank")
 

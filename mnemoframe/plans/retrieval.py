@@ -8,9 +8,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.functions import ids, score, text, vector
-from mnemoframe.functions.fixed import TOP_K, TRIPLET_PENALTY, WIDE_K
-from mnemoframe.operators import graph, improve, ledger, ontology, ranking, visual
+from mnemoframe.functions import score, text, vector
+from mnemoframe.functions.fixed import TOP_K, WIDE_K
+from mnemoframe.operators import graph, improve, ontology, ranking, router, visual
 from mnemoframe.session import hinted, materialize, table
 
 
@@ -126,6 +126,38 @@ def rounds(context: Callable, most: int = 4) -> Callable:
     return run
 
 
+def feeling_lucky(t: Tables, queries: DataFrame, p: Params) -> DataFrame:
+    """Each query by the search type that the router chooses; types that are not here fall back to chunks."""
+    routed = materialize(router.route(queries.select("query_id", "text")).select("query_id", "target"), "routed")
+    out = None
+    for kind in sorted(r.target for r in routed.select("target").distinct().collect()):  # at most as many as there are types
+        plan = SEARCH_TYPES.get(kind, SEARCH_TYPES["Chunks"])
+        found = plan(t, queries.join(routed.filter(F.col("target") == kind).select("query_id"), "query_id", "left_semi"), p).withColumn("search_type", F.lit(kind))
+        out = found if out is None else out.unionByName(found, allowMissingColumns=True)
+    return out if out is not None else SEARCH_TYPES["Chunks"](t, queries, p).withColumn("search_type", F.lit("Chunks"))
+
+
+def natural_language(spark: SparkSession, t: Tables, question: str, write_query: Callable[[str, str | None], str], attempts: int = 3) -> DataFrame:
+    """A question as a reading query that ``write_query(question, last error)`` writes; failed attempts are told to it."""
+    error = None
+    for _ in range(attempts):
+        try:
+            found = raw_query(spark, t, write_query(question, error))
+            found.schema  # noqa: B018 - analysis finds what is wrong with the query
+            return found
+        except Exception as e:  # noqa: BLE001 - whatever went wrong goes back to the writer
+            error = str(e).split("\n")[0]
+    raise ValueError(f"no query after {attempts} attempts: {error}")
+
+
+def store_feedback(interactions: DataFrame, feedback_id: str, content: str, rating: int, last: int = 5) -> tuple[DataFrame, DataFrame]:
+    """Feedback node and its edges to the latest interactions ``(id, at)``, those without a time last."""
+    spark = interactions.sparkSession
+    node = spark.createDataFrame([(feedback_id, content, "Feedback", rating)], "id string, name string, type string, feedback_score int")
+    recent = interactions.orderBy(F.desc_nulls_last("at"), "id").limit(last)
+    return node, recent.select(F.lit(feedback_id).alias("source_id"), F.col("id").alias("target_id"), F.lit("gives_feedback_to").alias("relationship_name"))
+
+
 SEARCH_TYPES: dict[str, Callable[[Tables, DataFrame, Params], DataFrame]] = {
     "Chunks": _collection("DocumentChunk_text"),
     "Summaries": _collection("TextSummary_text"),
@@ -139,6 +171,7 @@ SEARCH_TYPES: dict[str, Callable[[Tables, DataFrame, Params], DataFrame]] = {
     "HybridCompletion": hybrid,
     "Temporal": temporal,
     "CodingRules": coding_rules,
+    "FeelingLucky": feeling_lucky,
 }
 
 

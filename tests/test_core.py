@@ -250,6 +250,34 @@ def test_hybrid_and_prompt(spark):
     assert retrieval.raw_query(spark, t, "select count(*) as n from edges").first().n == 1
 
 
+def test_lucky_natural_language_and_feedback(spark):
+    nodes = spark.createDataFrame([("c1", "", "DocumentChunk", "the copper kettle boils"), ("c2", "", "DocumentChunk", "an iron bridge")], "id string, name string, type string, text string")
+    edges = spark.createDataFrame([("c1", "c2", "near")], "source_id string, target_id string, relationship_name string")
+    vectors = spark.createDataFrame([("DocumentChunk_text", "c1", [1.0, 0.0]), ("DocumentChunk_text", "c2", [0.0, 1.0])], "collection string, id string, vector array<float>")
+    t = retrieval.Tables(nodes, edges, vectors)
+    q = spark.createDataFrame([(1, '"copper kettle"', [1.0, 0.1]), (2, "tell me things", [0.0, 1.0])], "query_id int, text string, vector array<float>")
+    got = {(r.query_id, r.search_type) for r in retrieval.search(t, q, "FeelingLucky").collect()}
+    assert got == {(1, "ChunksLexical"), (2, "GraphCompletion")}
+    seen = []
+    write = lambda question, error: (seen.append(error), "select nonsense from edges" if error is None else "select count(*) as n from edges")[1]
+    assert retrieval.natural_language(spark, t, "how many?", write).first().n == 1 and len(seen) == 2 and seen[1]
+    with pytest.raises(ValueError):
+        retrieval.natural_language(spark, t, "?", lambda *_: "drop table edges")
+    asked = spark.createDataFrame([(f"i{i}", i if i else None) for i in range(8)], "id string, at int")
+    node, links = retrieval.store_feedback(asked, "f", "good", 5)
+    assert node.count() == 1 and {r.target_id for r in links.collect()} == {"i3", "i4", "i5", "i6", "i7"}
+
+
+def test_truth_turns_the_order(spark):
+    from mnemoframe.operators import ranking
+
+    lane = spark.createDataFrame([(1, "a", 0), (1, "b", 1)], "query_id int, id string, rank int")
+    states = spark.createDataFrame([("a", [0.0, 1.0], 3), ("b", [1.0, 0.0], 3), ("c", [1.0, 0.0], 2)], "id string, alignment array<double>, truth_epoch long")
+    truth = improve.truth_factors(states, spark.createDataFrame([(1, [1.0, 0.0])], "query_id int, q_coords array<double>"), 3)
+    order = lambda df: [r.id for r in df.orderBy("rank").collect()]
+    assert order(ranking.fuse({"x": lane}, 10)) == ["a", "b"] and order(ranking.fuse({"x": lane}, 10, truth=truth)) == ["b", "a"]
+
+
 def test_pipeline(spark):
     df = spark.range(3)
     p = pipeline.Pipeline("p").then("double", lambda d: d.withColumn("x", F.col("id") * 2), ("id",)).then("both", pipeline.fan_out(lambda d: d.filter("x > 2"), lambda d: d.filter("x < 1")))
