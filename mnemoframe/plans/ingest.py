@@ -8,12 +8,12 @@ from pyspark.sql import functions as F
 from mnemoframe.functions import ids, jsonx, text
 from mnemoframe.functions.ids import uuid5_sql
 from mnemoframe.operators import chunking
-from mnemoframe.session import table
+from mnemoframe.session import spread, table
 from mnemoframe.sources import loaders
 
 
 def _docs(spark, sf) -> DataFrame:
-    return table(spark, sf, "documents").select("doc_id", "text")
+    return spread(table(spark, sf, "documents").select("doc_id", "text"))
 
 
 def _digest(chunks: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from mnemoframe.functions import score, text, vector
 from mnemoframe.functions.fixed import F32_EPSILON, STOP_WORDS
 from mnemoframe.operators import ranking, router
-from mnemoframe.session import table
+from mnemoframe.session import spread, table
 
 _STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
 _TOKENS = r"list_filter(regexp_extract_all(lower({0}), '[\p{{L}}\p{{N}}_]+'), lambda t: t NOT IN ({1}))"
@@ -19,7 +19,7 @@ def tokens_sql(column: str) -> str:
 
 
 def _corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text")
+    return spread(table(spark, sf, "documents").select(F.col("doc_id").alias("id"), "text"))
 
 
 def _queries(spark: SparkSession, sf: str) -> DataFrame:

@@ -65,6 +65,12 @@ def hinted(df: DataFrame, rows: int = 200_000) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores where its files make fewer partitions than there are cores; large inputs stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def clean_up(spark: SparkSession) -> None:
     """Remove what ``materialize`` wrote for this application; results not yet read are lost."""
     jvm = spark.sparkContext._jvm
