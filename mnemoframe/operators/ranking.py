@@ -59,16 +59,16 @@ def lexical(corpus: DataFrame, queries: DataFrame, k: int = 10, multiset: bool =
     return top_k(scored.select("query_id", "id", "score"), ["query_id"], k, F.desc("score"), F.asc("id"))
 
 
-def nearest(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine") -> DataFrame:
-    """Exact top ``k`` points ``(query_id, id, score, rank)`` of each query vector.
+def nearest(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", by: tuple[str, ...] = ()) -> DataFrame:
+    """Exact top ``k`` points ``(query_id, id, score, rank)`` of each query vector, in each group of the columns ``by``.
 
     ``points`` has ``id, vector``, ``queries`` has ``query_id, vector``; the
     stated queries are sent to the points (broadcast while they are few).
     """
-    by = {"cosine": vector.cosine, "dot": vector.dot, "euclidean": lambda a, b: -vector.euclidean(a, b)}[metric]
+    measure = {"cosine": vector.cosine, "dot": vector.dot, "euclidean": lambda a, b: -vector.euclidean(a, b)}[metric]
     pairs = points.crossJoin(hinted(queries.select("query_id", F.col("vector").alias("asked")), 20_000))
-    scored = pairs.filter(F.size("vector") == F.size("asked")).select("query_id", "id", F.round(by(F.col("vector"), F.col("asked")), 6).alias("score"))
-    return top_k(scored, ["query_id"], k, F.desc("score"), F.asc("id"))
+    scored = pairs.filter(F.size("vector") == F.size("asked")).select("query_id", *by, "id", F.round(measure(F.col("vector"), F.col("asked")), 6).alias("score"))
+    return top_k(scored, ["query_id", *by], k, F.desc("score"), F.asc("id"))
 
 
 def fuse(lanes: dict[str, DataFrame], k: int, weights: DataFrame | None = None, truth: DataFrame | None = None) -> DataFrame:

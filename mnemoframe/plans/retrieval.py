@@ -46,11 +46,9 @@ def chunks_lexical(t: Tables, queries: DataFrame, p: Params) -> DataFrame:
 
 
 def graph_completion(t: Tables, queries: DataFrame, p: Params) -> DataFrame:
-    """Triplet search for every query: hits of all collections, smallest distance per point, three distances per edge."""
-    hits = ranking.nearest(t.vectors.filter(F.col("collection").isin(*p.collections)).select(F.concat_ws("\u0001", "collection", "id").alias("id"), "collection", "vector"), queries, p.wide_k * len(p.collections))
-    # the wide search takes the best of each collection
-    per = ranking.top_k(hits.withColumn("collection", F.split("id", "\u0001")[0]).drop("rank"), ["query_id", "collection"], p.wide_k, F.desc("score"), F.asc("id"))
-    near = per.groupBy("query_id", F.split("id", "\u0001")[1].alias("id")).agg((1 - F.max("score")).alias("d"))
+    """Triplet search for every query: the ``wide_k`` best hits of each collection, smallest distance per point, three distances per edge."""
+    hits = materialize(ranking.nearest(t.vectors.filter(F.col("collection").isin(*p.collections)), queries, p.wide_k, by=("collection",)), "hits")
+    near = hits.groupBy("query_id", "id").agg((1 - F.max("score")).alias("d"))
     ways = t.edges.select("source_id", "relationship_name", "target_id")
     touched = ways.join(hinted(near.select("query_id", F.col("id").alias("source_id"), F.col("d").alias("s"))), "source_id").select("query_id", *ways.columns, "s", F.lit(None).cast("double").alias("t"))
     touched = touched.unionByName(ways.join(hinted(near.select("query_id", F.col("id").alias("target_id"), F.col("d").alias("t"))), "target_id").select("query_id", *ways.columns, F.lit(None).cast("double").alias("s"), "t"))

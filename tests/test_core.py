@@ -235,6 +235,16 @@ def test_temporal_search(spark):
     assert got == [("e2", 1.0), ("e1", 0.0)]
 
 
+def test_triplet_search_takes_the_best_of_each_collection(spark):
+    nodes = spark.createDataFrame([("s", "", "TextSummary", "far")], "id string, name string, type string, text string")
+    edges = spark.createDataFrame([("s", "x", "about")], "source_id string, target_id string, relationship_name string")
+    crowd = [("DocumentChunk_text", f"c{i}", [1.0, 0.0]) for i in range(9)]
+    vectors = spark.createDataFrame([*crowd, ("TextSummary_text", "s", [0.0, 1.0])], "collection string, id string, vector array<float>")
+    q = spark.createDataFrame([(1, "?", [1.0, 0.0])], "query_id int, text string, vector array<float>")
+    got = retrieval.search(retrieval.Tables(nodes, edges, vectors), q, params=retrieval.Params(wide_k=2)).collect()
+    assert [(r.source_id, r.target_id, r.score) for r in got] == [("s", "x", 14.0)]
+
+
 def test_hybrid_and_prompt(spark):
     nodes = spark.createDataFrame([("c1", "", "DocumentChunk", "the copper kettle boils"), ("c2", "", "DocumentChunk", "an iron bridge"), ("s1", "", "TextSummary", "kettle")], "id string, name string, type string, text string")
     edges = spark.createDataFrame([("s1", "c1", "summarises")], "source_id string, target_id string, relationship_name string")
