@@ -8,15 +8,22 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from mnemoframe.functions import score, text, vector
+from mnemoframe.functions import ids, score, text, vector
 from mnemoframe.functions.fixed import TOP_K, WIDE_K
-from mnemoframe.operators import graph, improve, ontology, ranking, router, visual
+from mnemoframe.operators import graph, improve, ontology, ranking, records, router, visual
 from mnemoframe.session import hinted, materialize, table
 
 
+#: Collection whose hits are distances of relationships, not of nodes.
+RELATIONSHIPS = "EdgeType_relationship_name"
+
+
 @dataclass
 class Tables:
-    """What retrieval reads.  ``vectors`` is ``(collection, id, vector)``; queries are ``(query_id, text, vector)``."""
+    """What retrieval reads.  ``vectors`` is ``(collection, id, vector)``; queries are ``(query_id, text, vector)``.
+
+    The id of a relationship's point is that of ``records.index_rows``.
+    """
 
     nodes: DataFrame
     edges: DataFrame
@@ -28,7 +35,7 @@ class Tables:
 class Params:
     top_k: int = TOP_K
     wide_k: int = WIDE_K
-    collections: tuple[str, ...] = ("Entity_name", "TextSummary_text", "DocumentChunk_text")
+    collections: tuple[str, ...] = ("Entity_name", "TextSummary_text", "EntityType_name", "DocumentChunk_text", RELATIONSHIPS, "Triplet_text")
     answer: Callable | None = None  # a column function (question, context) -> answer; without it the prompt is returned
     template: str = "Question: {question}\nContext: {context}"
     extra: dict = field(default_factory=dict)
@@ -48,13 +55,15 @@ def chunks_lexical(t: Tables, queries: DataFrame, p: Params) -> DataFrame:
 def graph_completion(t: Tables, queries: DataFrame, p: Params) -> DataFrame:
     """Triplet search for every query: the ``wide_k`` best hits of each collection, smallest distance per point, three distances per edge."""
     hits = materialize(ranking.nearest(t.vectors.filter(F.col("collection").isin(*p.collections)), queries, p.wide_k, by=("collection",)), "hits")
-    near = hits.groupBy("query_id", "id").agg((1 - F.max("score")).alias("d"))
+    near = hits.filter(F.col("collection") != RELATIONSHIPS).groupBy("query_id", "id").agg((1 - F.max("score")).alias("d"))
     ways = t.edges.select("source_id", "relationship_name", "target_id")
     touched = ways.join(hinted(near.select("query_id", F.col("id").alias("source_id"), F.col("d").alias("s"))), "source_id").select("query_id", *ways.columns, "s", F.lit(None).cast("double").alias("t"))
     touched = touched.unionByName(ways.join(hinted(near.select("query_id", F.col("id").alias("target_id"), F.col("d").alias("t"))), "target_id").select("query_id", *ways.columns, F.lit(None).cast("double").alias("s"), "t"))
     merged = touched.groupBy("query_id", *ways.columns).agg(F.min("s").alias("s"), F.min("t").alias("t"))
-    scored = merged.withColumn("score", F.round(score.triplet_distance(F.col("s"), F.col("t"), F.lit(None).cast("double")), 6))
-    return ranking.top_k(scored, ["query_id"], p.top_k, F.asc("score"), F.asc("source_id"), F.asc("relationship_name"), F.asc("target_id")).drop("s", "t")
+    names = t.edges.select("relationship_name").distinct().withColumn("id", ids.data_point_id("EdgeType", F.col("relationship_name")))
+    kinds = hits.filter(F.col("collection") == RELATIONSHIPS).join(names, "id").groupBy("query_id", "relationship_name").agg((1 - F.max("score")).alias("e"))
+    scored = merged.join(hinted(kinds), ["query_id", "relationship_name"], "left").withColumn("score", F.round(score.triplet_distance(F.col("s"), F.col("t"), F.col("e")), 6))
+    return ranking.top_k(scored, ["query_id"], p.top_k, F.asc("score"), F.asc("source_id"), F.asc("relationship_name"), F.asc("target_id")).select("query_id", *ways.columns, "score", "rank")
 
 
 def hybrid(t: Tables, queries: DataFrame, p: Params) -> DataFrame:
@@ -217,10 +226,14 @@ def lexical_chunks(spark, sf):
 
 
 def graph_triplet_ranking(spark, sf):
-    """Triplet search with made-up vectors: nodes and queries embedded offline by their texts."""
+    """Triplet search with made-up vectors: nodes, relationships, triplets and queries embedded offline by their texts."""
     t = tables_of(spark, sf)
     shown = F.coalesce(F.nullif("name", F.lit("")), "text")
-    embedded = t.nodes.select(F.when(F.col("type") == "Entity", "Entity_name").when(F.col("type") == "TextSummary", "TextSummary_text").otherwise("DocumentChunk_text").alias("collection"), "id", vector.deterministic_vector(shown, 8).alias("vector")).filter("vector is not null")
+    kind = F.when(F.col("type") == "Entity", "Entity_name").when(F.col("type") == "TextSummary", "TextSummary_text").when(F.col("type") == "EntityType", "EntityType_name").otherwise("DocumentChunk_text")
+    embedded = t.nodes.select(kind.alias("collection"), "id", vector.deterministic_vector(shown, 8).alias("vector")).filter("vector is not null")
+    relationships = records.index_rows(t.nodes.filter("false"), t.edges, lambda x: vector.deterministic_vector(x, 8))
+    triplets = improve.memify(t.nodes.select("id", shown.alias("text")), t.edges, 8).withColumn("collection", F.lit("Triplet_text"))
+    embedded = embedded.unionByName(relationships.select(*embedded.columns)).unionByName(triplets.select(*embedded.columns))
     q = table(spark, sf, "eval_items").filter("suite = 'graph_reasoning'").select(F.col("item_id").alias("query_id"), "text", vector.deterministic_vector(F.col("text"), 8).alias("vector"))
     return search(Tables(t.nodes, t.edges, embedded), q, "GraphCompletion")
 

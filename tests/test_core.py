@@ -245,6 +245,18 @@ def test_triplet_search_takes_the_best_of_each_collection(spark):
     assert [(r.source_id, r.target_id, r.score) for r in got] == [("s", "x", 14.0)]
 
 
+def test_triplet_search_uses_the_distance_of_relationships(spark):
+    nodes = spark.createDataFrame([(i, i, "Entity", None) for i in "abc"], "id string, name string, type string, text string")
+    edges = spark.createDataFrame([("a", "b", "far from"), ("a", "c", "works for"), ("a", "c", "unindexed")], "source_id string, target_id string, relationship_name string")
+    kinds = spark.createDataFrame([("far from", [0.0, 1.0]), ("works for", [1.0, 0.0])], "name string, vector array<float>")
+    kinds = kinds.select(F.lit("EdgeType_relationship_name").alias("collection"), ids.data_point_id("EdgeType", F.col("name")).alias("id"), "vector")
+    points = [("Entity_name", "a", [1.0, 0.0]), ("EntityType_name", "b", [1.0, 0.0]), ("Triplet_text", "c", [1.0, 0.0])]
+    vectors = spark.createDataFrame(points, "collection string, id string, vector array<float>").unionByName(kinds)
+    q = spark.createDataFrame([(1, "?", [1.0, 0.0])], "query_id int, text string, vector array<float>")
+    got = retrieval.search(retrieval.Tables(nodes, edges, vectors), q).orderBy("rank").collect()
+    assert [(r.relationship_name, r.score) for r in got] == [("works for", 0.0), ("far from", 1.0), ("unindexed", 6.5)]
+
+
 def test_hybrid_and_prompt(spark):
     nodes = spark.createDataFrame([("c1", "", "DocumentChunk", "the copper kettle boils"), ("c2", "", "DocumentChunk", "an iron bridge"), ("s1", "", "TextSummary", "kettle")], "id string, name string, type string, text string")
     edges = spark.createDataFrame([("s1", "c1", "summarises")], "source_id string, target_id string, relationship_name string")
