@@ -187,37 +187,53 @@ class FingerprintStore:
     ``match(batch)`` names the records of a batch that repeat an accepted one
     or an earlier one of the batch; ``append(batch)`` accepts a batch.  A match
     reads the stored tables and only shuffles history rows whose block or key
-    the batch asks for.
+    the batch asks for.  What is accepted is what lies under the path, so a
+    store can be opened again; a folder once written is never replaced.
     """
 
+    TABLES = ("texts", "entries", "keys")
+
     #: A batch of up to this many rows sends its blocks to the history by broadcast (``BANDS`` 5-byte entries each); a larger one is joined by shuffle.
     SMALL_BATCH = 50_000
 
     def __init__(self, spark: SparkSession, path: str) -> None:
-        self.spark, self.path, self.parts = spark, path.rstrip("/"), 0
+        self.spark, self.path = spark, path.rstrip("/")
+
+    def _folders(self, name: str) -> dict[int, bool]:
+        """Numbers of the batch folders of a table, each with whether its writing was finished."""
+        path = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path
+        root = path(f"{self.path}/{name}")
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        found = [f.getPath().getName() for f in fs.listStatus(root)] if fs.exists(root) else []
+        return {int(n): fs.exists(path(root, f"{n}/_SUCCESS")) for n in found if n.isdigit()}
+
+    def parts(self) -> list[int]:
+        """Accepted batches: those whole in every table; an append that broke off accepted nothing."""
+        held = [self._folders(name) for name in self.TABLES]
+        return [n for n in sorted(held[0]) if all(h.get(n) for h in held)]
 
-    def _read(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(*[f"{self.path}/{name}/{i}" for i in range(self.parts)]) if self.parts else None
+    def _read(self, name: str, parts: list[int]) -> DataFrame:
+        return self.spark.read.parquet(*[f"{self.path}/{name}/{i}" for i in parts])
 
     def _tables(self, batch: DataFrame) -> dict[str, DataFrame]:
         texts = batch.select(F.col("record_no").cast("long").alias("record_no"), "extension", "content")
         return {"texts": texts, "entries": block_entries(fingerprints(texts)), "keys": copy_keys(texts, "content", "extension").select("record_no", "k1", "k2").filter("k1 is not null")}
 
     def append(self, batch: DataFrame) -> None:
+        part = max((n for name in self.TABLES for n in self._folders(name)), default=-1) + 1
         for name, df in self._tables(batch).items():
-            (df.repartition("turn").sortWithinPartitions("turn", "block") if name == "entries" else df).write.mode("overwrite").parquet(f"{self.path}/{name}/{self.parts}")
-        self.parts += 1
+            (df.repartition("turn").sortWithinPartitions("turn", "block") if name == "entries" else df).write.mode("error").parquet(f"{self.path}/{name}/{part}")
 
     def match(self, batch: DataFrame) -> DataFrame:
         new = {name: materialize(df, name) for name, df in self._tables(batch).items()}
         small = new["texts"].count() <= self.SMALL_BATCH
         side = F.broadcast if small else (lambda df: df)
         entries, keys, texts = new["entries"], new["keys"], new["texts"]
-        if self.parts:
+        if parts := self.parts():
             asked = entries.select("turn", "block").distinct()
-            entries = entries.unionByName(self._read("entries").join(side(asked), ["turn", "block"], "left_semi"))
-            keys = keys.unionByName(self._read("keys").join(side(keys.select("k1", "k2").distinct()), ["k1", "k2"], "left_semi"))
-            texts = texts.unionByName(self._read("texts"))
+            entries = entries.unionByName(self._read("entries", parts).join(side(asked), ["turn", "block"], "left_semi"))
+            keys = keys.unionByName(self._read("keys", parts).join(side(keys.select("k1", "k2").distinct()), ["k1", "k2"], "left_semi"))
+            texts = texts.unionByName(self._read("texts", parts))
         near = near_pairs(materialize(entries, "entries"), texts)
         firsts = keys.groupBy("k1", "k2").agg(F.min("record_no").alias("first_no"))
         copies = keys.join(firsts, ["k1", "k2"]).select("first_no", F.col("record_no").alias("dup_no"))

@@ -125,6 +125,19 @@ def test_store_matches_batch_after_batch(spark, tmp_path):
     assert found == {(1, 3), (1, 4), (5, 6), (9, 10)}
 
 
+def test_store_is_opened_again(spark, tmp_path):
+    df = spark.createDataFrame(_records(), "record_no long, batch_no int, extension string, content string")
+    path = str(tmp_path / "store")
+    batch_dedup.FingerprintStore(spark, path).append(df.filter("batch_no < 2"))
+    (tmp_path / "store" / "texts" / "1").mkdir()  # an append that broke off
+    assert rows(batch_dedup.FingerprintStore(spark, path).match(df.filter("batch_no = 3")), "first_no", "dup_no") == set()
+    batch_dedup.FingerprintStore(spark, path).append(df.filter("batch_no = 2"))
+    again = batch_dedup.FingerprintStore(spark, path)
+    assert again.parts() == [0, 2]
+    assert rows(again.match(df.filter("batch_no = 3")), "first_no", "dup_no") == {(9, 10)}
+    assert rows(again._read("texts", again.parts()), "record_no") == rows(df.filter("batch_no < 3"), "record_no")
+
+
 def test_overfull_blocks_are_searched_to_the_end(spark, monkeypatch):
     monkeypatch.setattr(batch_dedup, "FIRST", 2)
     words = [f"w{i}" for i in range(60)]
