@@ -18,6 +18,11 @@ Work is done on distinct spellings, so a name that a third of the rows share is
 one row until the end.  Only the result, all pairs that name the same entity,
 is as large as the question makes it.
 
+Names without a root (all words short or common, or initials alone) are linked
+by equality of their levelled words, inside kind and place; near is not enough
+for them, as 'J. Lee' is one letter from 'K. Lee'.  Initials that several firms
+of the place have (without a place: any firm) stay alone.
+
 Defined results: a null or empty name (no letter or digit) names nobody and is
 no case; repeated rows under one id are one row; a null kind is told from the
 name; missing or unreadable properties mean no place; empty tables give an
@@ -237,11 +242,13 @@ def _structure(lexicon):
                 acronym = left[0] if len(left) == 1 and not root and 2 <= len(left[0]) <= 5 else None
                 if acronym:
                     other = []
+                full = [SHORT[w] if w in SHORT and " " not in SHORT[w] else w for w in (lv or w for w, lv in zip(left, levels))]
+                bare = None if root else " ".join(sorted(full) or r.words)
                 votes = [lex.kinds.get(lv) or ("person" if lv in SHORT or lv in lex.full else "organization" if lv in USUAL else None) for lv in levels if lv]
                 votes = [v for v in votes if v]
                 kind = "organization" if legal or acronym or "the" in r.words or "of" in r.words else votes[0] if votes else "person" if any(len(w) == 1 for w in left) else None
-                rows.append((r.kind if r.kind in ("person", "organization") else kind, r.place, r.year, " ".join(r.words), root, other, initials, acronym))
-            yield pd.DataFrame(rows, columns=["kind", "place", "year", "spelling", "root", "other", "initials", "acronym"])
+                rows.append((r.kind if r.kind in ("person", "organization") else kind, r.place, r.year, " ".join(r.words), root, other, initials, acronym, bare))
+            yield pd.DataFrame(rows, columns=["kind", "place", "year", "spelling", "root", "other", "initials", "acronym", "bare"])
 
     return run
 
@@ -374,7 +381,7 @@ def same_names(rows: DataFrame) -> DataFrame:
     told = told.groupBy("t", "kind").count().groupBy("t").agg(F.max_by("kind", "count").alias("kind"))
     lexicon = spark.sparkContext.broadcast(Lexicon(common, {r.t: r.kind for r in told.collect()}))
     plain = named.select("kind", "place", "year", "words").groupBy("kind", "place", "year", "words").count().drop("count")
-    shape = plain.mapInPandas(_structure(lexicon), "kind string, place string, year int, spelling string, root string, other array<string>, initials string, acronym string")
+    shape = plain.mapInPandas(_structure(lexicon), "kind string, place string, year int, spelling string, root string, other array<string>, initials string, acronym string, bare string")
     forms = materialize(shape.distinct(), "forms")
     whole = forms.filter("root <> ''")
     spellings = whole.groupBy("kind", "place", "root", "spelling", "other", "initials").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("year")).alias("years"))
@@ -408,12 +415,26 @@ def same_names(rows: DataFrame) -> DataFrame:
     short = forms.filter("acronym is not null and place is not null").select("spelling", "place", "acronym").distinct()
     short = short.withColumn("initials", F.explode(F.array(F.col("acronym"), F.expr("left(acronym, length(acronym) - 1)"))))  # the legal form may be left out
     firms = known.filter("kind = 'organization' and length(initials) > 1").select("place", "initials", "entity").distinct()
-    named_by = short.join(firms, ["place", "initials"]).groupBy("spelling", "place").agg(F.count_distinct("entity").alias("n"), F.min("entity").alias("entity")).filter("n = 1").drop("n")
+    fitting = materialize(short.join(firms, ["place", "initials"]).groupBy("spelling", "place").agg(F.count_distinct("entity").alias("n"), F.min("entity").alias("entity")), "fitting")
+    named_by = fitting.filter("n = 1").drop("n")
+    # names without a root: equal levelled words
+    bare = forms.filter("bare is not null").select("kind", "place", "spelling", "bare", "acronym").distinct()
+    told_there = bare.filter("kind is not null").groupBy("bare").agg(F.max("kind").alias("kind_there"))
+    bare = bare.join(told_there, "bare", "left").withColumn("kind", F.coalesce("kind", "kind_there", F.lit("person"))).drop("kind_there").distinct()
+    stated = bare.filter("place is not null").join(fitting, ["spelling", "place"], "left").filter("n is null or n = 1")
+    stated = materialize(stated.withColumn("entity", F.coalesce("entity", F.concat_ws("|", "kind", "place", F.lit("="), "bare"))).select("spelling", "place", "kind", "bare", "entity"), "bare")
+    unstated = bare.filter("place is null").withColumn("initials", F.explode(F.array(F.coalesce("acronym", F.lit("")), F.coalesce(F.expr("left(acronym, length(acronym) - 1)"), F.lit("")))))
+    several = unstated.join(firms.select("initials").distinct(), "initials", "left_semi").select("spelling").distinct()
+    one = stated.groupBy("kind", "bare").agg(F.count_distinct("entity").alias("n"), F.min("entity").alias("entity")).filter("n = 1").drop("n")
+    unstated = unstated.select("spelling", "kind", "bare").distinct().join(several, "spelling", "left_anti").join(one, ["kind", "bare"], "left")
+    unstated = unstated.select("spelling", F.lit("").alias("place"), "kind", F.coalesce("entity", F.concat_ws("|", "kind", F.lit(""), F.lit("="), "bare")).alias("entity"))
     where = (
         known.select("spelling", "place", "kind", "entity")
         .unionByName(joined.select("spelling", F.lit("").alias("place"), "kind", "entity"))
         .unionByName(lone.select("spelling", "place", "kind", "entity"))
         .unionByName(named_by.select("spelling", "place", F.lit("organization").alias("kind"), "entity"))
+        .unionByName(stated.select("spelling", "place", "kind", "entity"))
+        .unionByName(unstated)
     )
     where = materialize(where.groupBy("spelling", "place", "kind").agg(F.min("entity").alias("entity")), "where")
     asked = named.select("id", F.array_join("words", " ").alias("spelling"), F.coalesce("place", F.lit("")).alias("place"), "kind").dropDuplicates(["id"])

@@ -215,6 +215,17 @@ def test_names_of_one_entity(spark):
     assert name_variants.same_name_pairs(df.filter("false")).count() == 0
 
 
+def test_names_without_a_root_link_to_their_equals(spark):
+    data = [
+        ("a1", "J. Lee", "person", "Norby"), ("a2", "Lee, J.", "person", "Norby"), ("a3", "K. Lee", "person", "Norby"), ("a4", "J. Lee", "person", "Southby"),
+        ("b1", "Robert K.", "person", "Norby"), ("b2", "Bob K", "person", "Norby"), ("b3", "Robert K.", "person", None),
+        ("c1", "IBM", "organization", "Norby"), ("c2", "I.B.M.", "organization", "Norby"), ("c3", "IBN", "organization", "Norby"), ("c4", "Drazust Institute", "organization", "Norby"),
+        ("d1", "NI", "organization", "Westby"), ("d2", "NI", "organization", "Westby"), ("d3", "Norvask Institute", "organization", "Westby"), ("d4", "Nulbrand Institute", "organization", "Westby"),
+    ]
+    df = spark.createDataFrame([(i, n, k, None, f"{p}; active 1958" if p else None) for i, n, k, p in data], "id string, name string, kind string, properties string, description string")
+    assert rows(name_variants.same_name_pairs(df), "id_a", "id_b") == {("a1", "a2"), ("b1", "b2"), ("b1", "b3"), ("b2", "b3"), ("c1", "c2")}
+
+
 @pytest.mark.parametrize("a, b, d", [("kitten", "kitten", 0), ("abcd", "abdc", 1), ("abc", "abcd", 1), ("abcdef", "badcfe", 3), ("a", "xyz", 3)])
 def test_distance(a, b, d):
     assert name_variants.distance(a, b, 3) == d
