@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemoframe.llm import batch_dedup, format_dups, leakage, name_variants, packing, pii, shared_spans, vector_neighbors
-from mnemoframe.session import materialize, table
+from mnemoframe.session import materialize, shared_dir, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,10 +38,13 @@ def p1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    records = table(spark, sf_dir, "cognee_data_record")
-    found = batch_dedup.repeated_records(records).select("first_no", "dup_no")
-    new = records.filter("batch_no >= 1").select(F.col("record_no").alias("dup_no"))
-    return found.join(new, "dup_no", "left_semi").select("first_no", "dup_no")
+    """The history goes into a fresh store; then each new batch is matched against it and appended."""
+    records = table(spark, sf_dir, "cognee_data_record").select("record_no", "batch_no", "extension", "content")
+    store = batch_dedup.FingerprintStore(spark, f"{shared_dir(spark)}/mnemoframe/store-{uuid.uuid4().hex}")
+    store.append(records.filter("batch_no < 1"))
+    batches = [r.batch_no for r in records.filter("batch_no >= 1").select("batch_no").distinct().orderBy("batch_no").collect()]  # one number a batch
+    found = [store.accept(records.filter(F.col("batch_no") == n)) for n in batches]
+    return reduce(DataFrame.unionByName, found, spark.createDataFrame([], "first_no long, dup_no long"))
 
 
 def p2_add_results(spark: SparkSession, sf_dir: str) -> DataFrame:

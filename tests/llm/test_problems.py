@@ -107,43 +107,56 @@ def _records():
     ]
 
 
-def test_repeats_are_found_with_their_first(spark):
+def _fresh(spark, tmp_path, name="store"):
+    return batch_dedup.FingerprintStore(spark, str(tmp_path / name), cells=4)
+
+
+def test_repeats_are_found_with_their_first(spark, tmp_path):
     df = spark.createDataFrame([(*r, "x") for r in _records()], "record_no long, batch_no int, extension string, content string, k1 string")
-    got = rows(batch_dedup.repeated_records(df), "first_no", "dup_no")
-    assert got == {(1, 3), (1, 4), (5, 6), (9, 10)}
-    assert batch_dedup.repeated_records(df.filter("false")).count() == 0
+    assert rows(_fresh(spark, tmp_path).match(df), "first_no", "dup_no") == {(1, 3), (1, 4), (5, 6), (9, 10)}
+    assert _fresh(spark, tmp_path).match(df.filter("false")).count() == 0
 
 
 def test_store_matches_batch_after_batch(spark, tmp_path):
     df = spark.createDataFrame(_records(), "record_no long, batch_no int, extension string, content string")
-    store = batch_dedup.FingerprintStore(spark, str(tmp_path / "store"))
-    found = set()
+    store, found = _fresh(spark, tmp_path), set()
     for n in range(4):
-        batch = df.filter(F.col("batch_no") == n)
-        found |= rows(store.match(batch), "first_no", "dup_no")
-        store.append(batch)
+        found |= rows(store.accept(df.filter(F.col("batch_no") == n)), "first_no", "dup_no")
     assert found == {(1, 3), (1, 4), (5, 6), (9, 10)}
 
 
 def test_store_is_opened_again(spark, tmp_path):
     df = spark.createDataFrame(_records(), "record_no long, batch_no int, extension string, content string")
-    path = str(tmp_path / "store")
-    batch_dedup.FingerprintStore(spark, path).append(df.filter("batch_no < 2"))
-    (tmp_path / "store" / "texts" / "1").mkdir()  # an append that broke off
-    assert rows(batch_dedup.FingerprintStore(spark, path).match(df.filter("batch_no = 3")), "first_no", "dup_no") == set()
-    batch_dedup.FingerprintStore(spark, path).append(df.filter("batch_no = 2"))
-    again = batch_dedup.FingerprintStore(spark, path)
+    _fresh(spark, tmp_path).append(df.filter("batch_no < 2"))
+    (tmp_path / "store" / "texts" / "part=1").mkdir()  # an append that broke off
+    assert rows(_fresh(spark, tmp_path).match(df.filter("batch_no = 3")), "first_no", "dup_no") == set()
+    _fresh(spark, tmp_path).append(df.filter("batch_no = 2"))
+    again = _fresh(spark, tmp_path)
     assert again.parts() == [0, 2]
     assert rows(again.match(df.filter("batch_no = 3")), "first_no", "dup_no") == {(9, 10)}
-    assert rows(again._read("texts", again.parts()), "record_no") == rows(df.filter("batch_no < 3"), "record_no")
+    assert rows(again.read("texts", again.parts()), "record_no") == rows(df.filter("batch_no < 3"), "record_no")
 
 
-def test_overfull_blocks_are_searched_to_the_end(spark, monkeypatch):
-    monkeypatch.setattr(batch_dedup, "FIRST", 2)
-    words = [f"w{i}" for i in range(60)]
-    data = [(i, "txt", " ".join(words[:50] + [f"v{i}a", f"v{i}b"])) for i in range(12)]
+def test_a_batch_reads_only_its_cells_of_the_history(spark, tmp_path):
+    df = spark.createDataFrame(_records(), "record_no long, batch_no int, extension string, content string")
+    store = _fresh(spark, tmp_path)
+    store.append(df)
+    plan = store.read("texts", store.parts(), spark.createDataFrame([(4,)], "record_no long"))._jdf.queryExecution().toString()
+    assert "PartitionFilters" in plan and "cell" in plan.split("PartitionFilters", 1)[1].split("]")[0]
+    # records equal in their set of runs, or copies, keep one entry
+    assert store.read("entries", store.parts()).select("record_no").distinct().count() == 6
+    assert store.read("firsts", store.parts()).filter("h2 <> 0").count() == 6
+
+
+def test_overfull_blocks_are_searched_to_the_end(spark, tmp_path):
+    """300 texts that share too little to be near, and late pairs behind them in the same blocks."""
+    common = [f"w{i}" for i in range(60)]
+    text = lambda i: " ".join(common + [f"v{i}x{j}" for j in range(14)])
+    data = [(i, "txt", text(i)) for i in range(300)] + [(300 + k, "txt", text(200 + k) + " more") for k in range(5)]
     df = spark.createDataFrame(data, "record_no long, extension string, content string")
-    assert rows(batch_dedup.repeated_records(df), "first_no", "dup_no") == {(0, i) for i in range(1, 12)}
+    store = _fresh(spark, tmp_path)
+    store.append(df.filter("record_no < 290"))
+    assert rows(store.accept(df.filter("record_no >= 290")), "first_no", "dup_no") == {(200 + k, 300 + k) for k in range(5)}
 
 
 # 3: personal information
