@@ -101,8 +101,9 @@ def fingerprints(records: DataFrame) -> DataFrame:
 
 
 def block_entries(prints: DataFrame) -> DataFrame:
-    """One row per rotation of each fingerprint: ``(turn, block, record_no, f0, f1)``."""
-    return prints.select(F.posexplode("blocks").alias("turn", "block"), "record_no", "f0", "f1")
+    """One row per rotation of each fingerprint: ``(block, record_no, f0, f1)``; the rotation is in the high half of ``block``."""
+    turns = prints.select(F.posexplode("blocks").alias("turn", "bits"), "record_no", "f0", "f1")
+    return turns.select((F.shiftleft(F.col("turn").cast("long"), 32) + F.col("bits")).alias("block"), "record_no", "f0", "f1")
 
 
 def _look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -115,26 +116,26 @@ def _look_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         if batch.empty:
             continue
-        turn, block, no, new = batch.turn.to_numpy(), batch.block.to_numpy(), batch.record_no.to_numpy(), batch.new.to_numpy()
+        block, no, new = batch.block.to_numpy(), batch.record_no.to_numpy(), batch.new.to_numpy()
         f = np.stack([batch.f0.to_numpy(), batch.f1.to_numpy()], axis=1).view(np.uint64)
-        head = np.flatnonzero(np.append(True, (turn[1:] != turn[:-1]) | (block[1:] != block[:-1])))
+        head = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
         tail = np.append(head[1:], len(no))
         some = tail - head > 1
         some[[0, -1]] = True  # a block may go on in the batch before or behind
         out: list[tuple] = []
         for a, b in zip(head[some].tolist(), tail[some].tolist()):
-            if key != (turn[a], block[a]):
-                key, kept = (turn[a], block[a]), []
+            if key != block[a]:
+                key, kept = block[a], []
             for i in range(a, b):
                 if kept and new[i]:
                     members = np.array([m[1] for m in kept], np.uint64).reshape(-1, 2)
                     near = np.bitwise_count(members ^ f[i]).sum(axis=1) <= MAX_BITS
-                    out += [(m[0], no[i], turn[i], block[i], None) for m, ok in zip(kept, near) if ok and m[0] < no[i]]
+                    out += [(m[0], no[i], block[i], None) for m, ok in zip(kept, near) if ok and m[0] < no[i]]
                 if len(kept) < FIRST:
                     kept.append((no[i], f[i]))
                 elif new[i]:
-                    out.append((None, no[i], turn[i], block[i], kept[-1][0]))
-        yield pd.DataFrame(out, columns=["first_no", "dup_no", "turn", "block", "beyond"]).astype({"first_no": "Int64", "beyond": "Int64"})
+                    out.append((None, no[i], block[i], kept[-1][0]))
+        yield pd.DataFrame(out, columns=["first_no", "dup_no", "block", "beyond"]).astype({"first_no": "Int64", "beyond": "Int64"})
 
 
 def _tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -152,7 +153,7 @@ def _tile(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         return pd.DataFrame(found, columns=["first_no", "dup_no"], dtype="int64")
 
     for batch in batches:
-        names = list(zip(batch.turn, batch.block, batch.i, batch.j))
+        names = list(zip(batch.block, batch.i, batch.j))
         cuts = [0, *(k for k in range(1, len(names)) if names[k] != names[k - 1]), len(names)]
         for a, b in zip(cuts[:-1], cuts[1:]):
             if a == b:
@@ -196,21 +197,21 @@ def near_pairs(entries: DataFrame, texts) -> DataFrame:
     ``(record_no, content)`` of a frame of numbers.  A block that very many
     rows share is split into tiles, so it is neither one task nor one join key.
     """
-    ordered = entries.select("turn", "block", "record_no", "f0", "f1", "new").repartition("turn", "block").sortWithinPartitions("turn", "block", "record_no")
-    found = materialize(ordered.mapInPandas(_look_up, "first_no long, dup_no long, turn int, block int, beyond long"), "candidates")
+    ordered = entries.select("block", "record_no", "f0", "f1", "new").repartition("block").sortWithinPartitions("block", "record_no")
+    found = materialize(ordered.mapInPandas(_look_up, "first_no long, dup_no long, block long, beyond long"), "candidates")
     checked = materialize(_verified(found.filter("first_no is not null"), texts), "verified")
     best = checked.groupBy("dup_no").agg(F.min("first_no").alias("first_no"))
     # overfull blocks: members behind the first ones can matter only below the partner found so far
     if found.filter("beyond is not null").isEmpty():
         return best.select("first_no", "dup_no")
     left = found.filter("beyond is not null").drop("first_no").join(best, "dup_no", "left").filter("first_no is null or first_no > beyond")
-    left = materialize(left.select("turn", "block", F.col("dup_no").alias("record_no"), "beyond", F.coalesce("first_no", "dup_no").alias("known")), "left")
+    left = materialize(left.select("block", F.col("dup_no").alias("record_no"), "beyond", F.coalesce("first_no", "dup_no").alias("known")), "left")
     if left.isEmpty():
         return best.select("first_no", "dup_no")
-    own = ["turn", "block"]
-    members = entries.join(left.select(*own).distinct(), own, "left_semi")
+    own = ["block"]
+    members = materialize(entries.join(left.select(*own).distinct(), own, "left_semi"), "members")
     grid = left.groupBy(*own).agg(F.ceil(F.count("*") / TILE).cast("int").alias("rows")).join(members.groupBy(*own).agg(F.ceil(F.count("*") / TILE).cast("int").alias("columns")), own)
-    prints = entries.groupBy(*own, "record_no").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"))
+    prints = members.groupBy(*own, "record_no").agg(F.first("f0").alias("f0"), F.first("f1").alias("f1"))
     place = lambda of: F.pmod(F.xxhash64("record_no"), F.col(of)).cast("int")
     all_of = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
     asks = left.join(prints, [*own, "record_no"]).join(grid, own).withColumn("i", place("rows")).withColumn("j", all_of("columns")).withColumn("asks", F.lit(True))
@@ -236,12 +237,14 @@ class FingerprintStore:
     Choose ``cells`` so that a cell of a batch is a file of usual size.
     """
 
+    #: Records of a batch that sends its look-up keys (``BANDS`` long numbers each, at most 600,000) to every executor; a larger one joins by shuffle.
+    SMALL = 20_000
     TABLES = ("texts", "firsts", "entries")
-    _KEY = {"texts": ["record_no"], "firsts": ["h1", "h2"], "entries": ["turn", "block"]}
+    _KEY = {"texts": ["record_no"], "firsts": ["h1", "h2"], "entries": ["block"]}
     _SCHEMAS = {
         "texts": "record_no long, content string, cell int",
         "firsts": "h1 long, h2 long, record_no long, cell int",
-        "entries": "turn int, block int, record_no long, f0 long, f1 long, cell int",
+        "entries": "block long, record_no long, f0 long, f1 long, cell int",
     }
 
     def __init__(self, spark: SparkSession, path: str, cells: int = 16) -> None:
@@ -263,41 +266,46 @@ class FingerprintStore:
     def _cell(self, name: str):
         return F.pmod(F.xxhash64(*self._KEY[name]), F.lit(self.cells)).cast("int")
 
-    def read(self, name: str, parts: list[int], asked: DataFrame | None = None, many: bool = False) -> DataFrame:
+    def read(self, name: str, parts: list[int], asked: DataFrame | None = None, size: int = 1 << 60, exact: bool = True) -> DataFrame:
         """Accepted rows of a table, those that ``asked`` (distinct look-up keys) names if it is given.
 
-        Only cells that are asked for are read; ``many`` says that there are so
-        many keys that all of them are.
+        ``size`` is the number of records of the batch that asks.  Only cells
+        that are asked for are read, and a batch of up to ``SMALL`` sends its
+        keys to the history, which then is not shuffled.  Rows that nobody asks
+        for may stay if not ``exact``: who groups by the key anyway can drop them.
         """
         held = self.spark.read.schema(self._SCHEMAS[name]).option("basePath", f"{self.path}/{name}")
         held = held.parquet(*[f"{self.path}/{name}/part={i}" for i in parts]) if parts else self.spark.createDataFrame([], self._SCHEMAS[name])
         if asked is not None and parts:
-            if not many:
+            if size < 20 * self.cells:  # else no cell is left out
                 cells = [r.cell for r in asked.select(self._cell(name).alias("cell")).distinct().collect()]  # at most ``cells`` numbers
                 held = held.filter(F.col("cell").isin(cells))
-            held = held.join(asked, self._KEY[name], "left_semi")
+            if size <= self.SMALL:
+                held = held.join(F.broadcast(asked), self._KEY[name], "left_semi")
+            elif exact:
+                held = held.join(asked, self._KEY[name], "left_semi")
         return held.drop("cell", "part")
 
     @staticmethod
     def _prepare(batch: DataFrame) -> DataFrame:
         return materialize(fingerprints(batch.select(F.col("record_no").cast("long").alias("record_no"), "extension", "content").filter("record_no is not null")), "batch")
 
-    def _firsts(self, new: DataFrame, parts: list[int], many: bool) -> tuple[DataFrame, DataFrame]:
+    def _firsts(self, new: DataFrame, parts: list[int], size: int) -> tuple[DataFrame, DataFrame]:
         """What the batch's records can be equal in, ``(h1, h2, record_no)``, and the first holder of each, in the store or the batch."""
         same = F.array(F.struct(F.col("k1").alias("h1"), F.col("k2").alias("h2")), F.struct(F.col("set_hash").alias("h1"), F.lit(0).cast("long").alias("h2")))
         held = new.select("record_no", F.explode(same).alias("h")).select("h.h1", "h.h2", "record_no").filter("h1 is not null")
         here = held.groupBy("h1", "h2").agg(F.min("record_no").alias("first_here"))
-        before = self.read("firsts", parts, here.select("h1", "h2"), many).groupBy("h1", "h2").agg(F.min("record_no").alias("first_before"))
+        before = self.read("firsts", parts, here.select("h1", "h2"), size, exact=False).groupBy("h1", "h2").agg(F.min("record_no").alias("first_before"))
         return held, materialize(here.join(before, ["h1", "h2"], "left"), "firsts")
 
-    def _match(self, new: DataFrame, held: DataFrame, firsts: DataFrame, parts: list[int], many: bool) -> DataFrame:
+    def _match(self, new: DataFrame, held: DataFrame, firsts: DataFrame, parts: list[int], size: int) -> DataFrame:
         equal = held.join(firsts, ["h1", "h2"]).select(F.least("first_here", "first_before").alias("first_no"), F.col("record_no").alias("dup_no"))
         # one record of each set of runs asks for all of them
         lead = firsts.filter("h2 = 0").select(F.col("h1").alias("set_hash"), F.col("first_here").alias("lead_no"))
         entries = block_entries(new.join(lead.select(F.col("lead_no").alias("record_no")), "record_no", "left_semi")).withColumn("new", F.lit(True))
-        before = self.read("entries", parts, entries.select("turn", "block").distinct(), many)
+        before = self.read("entries", parts, entries.select("block").distinct(), size, exact=False)
         entries = entries.unionByName(before.withColumn("new", F.lit(False)))
-        texts = lambda numbers: new.select("record_no", "content").join(numbers, "record_no", "left_semi").unionByName(self.read("texts", parts, numbers))
+        texts = lambda numbers: new.select("record_no", "content").join(numbers, "record_no", "left_semi").unionByName(self.read("texts", parts, numbers, size))
         near = near_pairs(entries, texts).withColumnRenamed("dup_no", "lead_no")
         alike = new.select("set_hash", F.col("record_no").alias("dup_no")).join(lead.join(near, "lead_no"), "set_hash").select("first_no", "dup_no")
         both = equal.unionByName(alike).filter("first_no < dup_no")
@@ -317,10 +325,10 @@ class FingerprintStore:
 
     def _do(self, batch: DataFrame, match: bool, append: bool) -> DataFrame | None:
         new, parts = self._prepare(batch), self.parts()
-        many = bool(parts) and new.count() > 20 * self.cells
-        held, firsts = self._firsts(new, parts, many)
+        size = new.count() if parts else 0
+        held, firsts = self._firsts(new, parts, size)
         # the match reads the parts accepted before, so the append may run beside it
-        jobs = [lambda: self._match(new, held, firsts, parts, many)] if match else []
+        jobs = [lambda: self._match(new, held, firsts, parts, size)] if match else []
         return self._together(*jobs, *([lambda: self._append(new, firsts)] if append else []))[0]
 
     def _together(self, *jobs) -> list:

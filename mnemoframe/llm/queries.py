@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,13 +37,11 @@ def p1_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The history goes into a fresh store; then each new batch is matched against it and appended."""
+    """The history goes into a fresh store; then the new batches, as one delivery, are matched against it and appended."""
     records = table(spark, sf_dir, "cognee_data_record").select("record_no", "batch_no", "extension", "content")
     store = batch_dedup.FingerprintStore(spark, f"{shared_dir(spark)}/mnemoframe/store-{uuid.uuid4().hex}")
     store.append(records.filter("batch_no < 1"))
-    batches = [r.batch_no for r in records.filter("batch_no >= 1").select("batch_no").distinct().orderBy("batch_no").collect()]  # one number a batch
-    found = [store.accept(records.filter(F.col("batch_no") == n)) for n in batches]
-    return reduce(DataFrame.unionByName, found, spark.createDataFrame([], "first_no long, dup_no long"))
+    return store.accept(records.filter("batch_no >= 1"))
 
 
 def p2_add_results(spark: SparkSession, sf_dir: str) -> DataFrame:
