@@ -27,6 +27,7 @@ import os
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -38,13 +39,15 @@ CAPACITY, BUCKETS = 2048, 256
 SHARD_ROWS = 200_000
 
 
-def default_tokenizer() -> str:
-    """Path of the byte-level vocabulary that comes with the public tokenizer files."""
-    if "TOKENIZER_PATH" in os.environ:
-        return os.environ["TOKENIZER_PATH"]
-    import public_tokenizers
+#: Where the public tokenizer files are, if no path is given.
+TOKENIZER = os.environ.get("TOKENIZER_PATH", "/opt/tokenizers/byte_bpe_50k.tiktoken")
+
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+def default_tokenizer() -> str:
+    """Path of the vocabulary file that is used if none is named."""
+    if not os.path.exists(TOKENIZER):
+        raise FileNotFoundError(f"no vocabulary at {TOKENIZER}: pass tokenizer=PATH or set TOKENIZER_PATH")
+    return TOKENIZER
 
 
 class TokenCounter:
@@ -97,31 +100,46 @@ def token_sizes(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", tok
 
 
 def bucket_bounds(sizes: np.ndarray, counts: np.ndarray, buckets: int) -> np.ndarray:
-    """Upper bounds of at most ``buckets`` buckets with the least total padding."""
+    """Upper bounds of at most ``buckets`` buckets with the least total padding.
+
+    The padding of a bucket satisfies the quadrangle inequality, so the best
+    cut moves right with the end: each layer is filled by divide and conquer,
+    a level at a time, in ``n log n`` steps and no more than ``n`` numbers of
+    room besides the cuts.
+    """
     n = len(sizes)
     if n <= buckets:
         return sizes
     rows, tokens = np.concatenate(([0], np.cumsum(counts))).astype(float), np.concatenate(([0], np.cumsum(counts * sizes))).astype(float)
-    # cost[i, j]: padding when sizes[i:j] share the bound sizes[j - 1]
-    cost = np.full((n + 1, n + 1), np.inf)
-    for j in range(1, n + 1):
-        cost[:j, j] = sizes[j - 1] * (rows[j] - rows[:j]) - (tokens[j] - tokens[:j])
-    best, came = cost[0].copy(), []
-    for _ in range(buckets - 1):
-        total = best[:, None] + cost
-        at = np.argmin(total, axis=0)
-        came.append(at)
-        best = np.minimum(best, total[at, np.arange(n + 1)])
-        came[-1] = np.where(total[at, np.arange(n + 1)] <= best, at, -1)
+    bound = np.concatenate(([0], sizes)).astype(float)
+
+    def layer(before: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Least padding of the first j sizes in k buckets, and where the last of them begins."""
+        best, came = np.full(n + 1, np.inf), np.zeros(n + 1, np.int64)
+        low, high, left, right = (np.array([x]) for x in (k, n, k - 1, n - 1))
+        while len(low):
+            j = (low + high) // 2
+            many = np.minimum(right, j - 1) - left + 1
+            start = np.cumsum(many) - many
+            i = np.arange(many.sum()) - np.repeat(start - left, many)
+            end = np.repeat(j, many)
+            cost = before[i] + bound[end] * (rows[end] - rows[i]) - (tokens[end] - tokens[i])
+            best[j] = np.minimum.reduceat(cost, start)
+            came[j] = at = np.minimum.reduceat(np.where(cost == np.repeat(best[j], many), i, n), start)
+            go = np.concatenate((low < j, j < high))
+            low, high, left, right = (np.concatenate(x)[go] for x in ((low, j + 1), (j - 1, high), (left, at), (at, right)))
+        return best, came
+
+    best = bound * rows - tokens
+    best[0], cuts = np.inf, []
+    for k in range(2, buckets + 1):
+        best, came = layer(best, k)
+        cuts.append(came)
     bounds, j = [], n
-    for at in reversed([np.full(n + 1, 0), *came]):
-        if at[j] < 0:
-            continue
+    for came in reversed(cuts):
         bounds.append(sizes[j - 1])
-        j = at[j]
-        if j == 0:
-            break
-    return np.array(bounds[::-1])
+        j = int(came[j])
+    return np.array([sizes[j - 1], *reversed(bounds)])
 
 
 def plan_windows(bounds: np.ndarray, counts: np.ndarray, capacity: int) -> list[tuple[int, int, dict[int, int]]]:
@@ -164,7 +182,23 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
         for b, n in used.items():
             spans.append((b, taken[b], taken[b] + n * times, n, window))
             taken[b] += n * times
-    span = spark.createDataFrame(spans, "bucket int, low long, high long, each int, window long")
+    # sorted by bucket and rank, so that the span of a piece is one binary search; as many as patterns times their buckets
+    order = sorted(spans)
+    first, low, each, window = (np.array([r[i] for r in order], np.int64) for i in (0, 1, 3, 4))
+    table = spark.sparkContext.broadcast((first, low, each, window))
+
+    @F.pandas_udf("long")
+    def seat(bucket: pd.Series, at: pd.Series) -> pd.Series:
+        first, low, each, window = table.value
+        b, r = bucket.to_numpy(np.int64), at.to_numpy(np.int64)
+        out = np.empty(len(b), np.int64)
+        for k in np.unique(b):
+            a, z = np.searchsorted(first, [k, k + 1])
+            mine = b == k
+            s = a + np.searchsorted(low[a:z], r[mine], side="right") - 1
+            out[mine] = window[s] + (r[mine] - low[s]) // each[s]
+        return pd.Series(out)
+
     chosen = spark.createDataFrame([(int(s), int(b)) for s, b in zip(size, bucket)], "n_tokens long, bucket int")
     shards = max(1, -(-int(count.sum()) // SHARD_ROWS))
     placed = filled.join(F.broadcast(chosen), "n_tokens").withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece_no"), F.lit(shards)).cast("int"))
@@ -172,9 +206,7 @@ def pack(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", capacity:
     before = per_shard.withColumn("before", F.coalesce(F.sum("n").over(Window.partitionBy("bucket").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("n")
     inner = F.row_number().over(Window.partitionBy("bucket", "shard").orderBy("doc_id", "piece_no")) - 1
     ranked = placed.withColumn("inner", inner).join(before, ["bucket", "shard"]).withColumn("at", F.col("inner") + F.col("before"))
-    # patterns and sizes are bounded by the capacity, not by the corpus
-    seated = ranked.join(F.broadcast(span), "bucket").filter("at >= low and at < high")
-    windows = seated.withColumn("window_no", F.col("window") + F.floor((F.col("at") - F.col("low")) / F.col("each")))
+    windows = ranked.withColumn("window_no", seat("bucket", "at"))
     return windows.select("doc_id", "piece_no", "token_start", "n_tokens", "window_no").unionByName(nothing)
 
 
