@@ -9,6 +9,12 @@ Bloom filter; the filters are merged block by block, and only keys all of
 whose positions were seen twice ("possible repeats") are shuffled for exact
 grouping, everything else leaves as a singleton without a shuffle.
 
+The filter has the same density at every size: the space of keys is cut into
+ranges whose filters hold ``FILTER_BITS`` bits each, and one range after the
+other is sketched, merged, sent out and tested.  The key table is sorted by
+key inside its files, so a range reads its own pages only: all ranges
+together read the table once, whatever their number.
+
 Defined results: null content and content without any letter or digit has no
 key and is no case; an empty table gives an empty result; repeated rows are
 copies of each other; csv or json that cannot be parsed is compared as text
@@ -18,6 +24,7 @@ within its extension; further columns of the input are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -26,8 +33,8 @@ from pyspark.sql import functions as F
 
 from mnemoframe.session import materialize
 
-#: Bits of the merged filter per key, and its largest size (the broadcast bound).
-BITS_PER_KEY, MAX_FILTER_BITS = 16, 1 << 29
+#: Bits of the merged filter per key, and the size of one range's filter (the broadcast bound: 64 MB).
+BITS_PER_KEY, FILTER_BITS = 16, 1 << 29
 BLOCK_BITS = 1 << 20
 
 
@@ -75,8 +82,8 @@ def _positions(k1: np.ndarray, k2: np.ndarray, bits: int) -> np.ndarray:
 def repeat_filter(keys: DataFrame, bits: int) -> dict[int, bytes]:
     """Bitmap blocks of the positions that at least two rows set.
 
-    The result holds at most ``bits / 8`` bytes, ``bits`` being bounded by
-    ``MAX_FILTER_BITS``; partitions send sparse positions, not whole bitmaps.
+    The result holds at most ``bits / 8`` bytes, ``bits`` being bounded by the
+    filter of one range; partitions send sparse positions, not whole bitmaps.
     """
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -113,19 +120,9 @@ def repeat_filter(keys: DataFrame, bits: int) -> dict[int, bytes]:
     return {r.block: bytes(r.bitmap) for r in merged.collect()}
 
 
-def group_copies(keys: DataFrame, by: list[str], row: str) -> DataFrame:
-    """``(by..., keep_no, copy_no, copies)`` for every keyed row; ``keys`` must be cheap to read twice.
-
-    ``keep_no`` is the smallest number among the row's copies, ``copies`` how
-    many rows share its form (1 for a singleton).
-    """
-    spark = keys.sparkSession
-    keys = keys.filter("k1 is not null")
-    if by:  # copies are looked for inside these groups
-        keys = keys.withColumn("k1", F.xxhash64("k1", *by))
-    rows = keys.count()
-    bits = min(MAX_FILTER_BITS, max(BLOCK_BITS, 1 << int(np.ceil(np.log2(max(1, rows) * BITS_PER_KEY)))))
-    blocks = spark.sparkContext.broadcast(repeat_filter(keys, bits))
+def _marked(keys: DataFrame, bits: int) -> DataFrame:
+    """``keys`` with a flag ``maybe``: false where no other row can have the same key."""
+    blocks = keys.sparkSession.sparkContext.broadcast(repeat_filter(keys, bits))
 
     @F.pandas_udf("boolean")
     def possible_repeat(k1: pd.Series, k2: pd.Series) -> pd.Series:
@@ -143,6 +140,26 @@ def group_copies(keys: DataFrame, by: list[str], row: str) -> DataFrame:
         return pd.Series(found)
 
     marked = materialize(keys.withColumn("maybe", possible_repeat("k1", "k2")), "copies")
+    blocks.unpersist()
+    return marked
+
+
+def group_copies(keys: DataFrame, by: list[str], row: str, filter_bits: int = FILTER_BITS) -> DataFrame:
+    """``(by..., keep_no, copy_no, copies)`` for every keyed row.
+
+    ``keep_no`` is the smallest number among the row's copies, ``copies`` how
+    many rows share its form (1 for a singleton).
+    """
+    keys = keys.filter("k1 is not null")
+    if by:  # copies are looked for inside these groups
+        keys = keys.withColumn("k1", F.xxhash64("k1", *by))
+    keys = materialize(keys.sortWithinPartitions("k1"), "keys")
+    rows = keys.count()
+    ranges = max(1, -(-rows * BITS_PER_KEY // filter_bits))
+    bits = min(filter_bits, max(BLOCK_BITS, 1 << int(np.ceil(np.log2(max(1, rows / ranges) * BITS_PER_KEY)))))
+    cuts = [-(2**63) + (i * 2**64) // ranges for i in range(ranges)] + [2**63]
+    between = lambda a, b: (F.col("k1") >= a) & (F.col("k1") <= b - 1)
+    marked = reduce(DataFrame.unionByName, [_marked(keys.filter(between(a, b)) if ranges > 1 else keys, bits) for a, b in zip(cuts[:-1], cuts[1:])])
     maybe = marked.filter("maybe")
     # map-side combination comes first, so a form that a third of the rows share is no hot task
     groups = maybe.groupBy("k1", "k2").agg(F.min(row).alias("keep_no"), F.count("*").alias("copies")).filter("copies > 1")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mnemoframe.llm import batch_dedup, format_dups, leakage, name_variants, packing, pii, shared_spans, vector_neighbors
-from mnemoframe.session import materialize, shared_dir, table
+from mnemoframe.session import shared_dir, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,7 +89,7 @@ def _copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = format_dups.copy_keys(table(spark, sf_dir, "cognee_data_record").select("record_no", "content", "extension"), "content", "extension")
     keys = memories.select(F.lit("memories").alias("src"), F.col("memory_no").alias("no"), "k1", "k2")
     keys = keys.unionByName(records.select(F.lit("cognee_data_record").alias("src"), F.col("record_no").alias("no"), "k1", "k2"))
-    return format_dups.group_copies(materialize(keys, "keys"), ["src"], "no")
+    return format_dups.group_copies(keys, ["src"], "no")
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,12 +139,12 @@ WITH plain AS (
   FROM cognee_data_record WHERE coalesce(lower(extension), '') NOT IN ('csv', 'json')
 ), parts AS (
   SELECT record_no AS no, lower(extension) AS ext,
-    unnest(string_split_regex(regexp_replace(content, '\s*[,;|\t\n\r]\s*(record_name|amount|opened|place|note|remark|reviewer|agency)\s*:', chr(1) || '\1:', 'g'), chr(1))) AS part
+    unnest(string_split_regex(regexp_replace(content, '\s*[,;|\t\n\r]\s*([\p{L}_][\p{L}\p{N}_ -]{0,60}\s*[:=])', chr(1) || '\1', 'g'), chr(1))) AS part
   FROM cognee_data_record WHERE lower(extension) = 'csv'
 ), csv AS (
   SELECT no, 'csv' || chr(2) || string_agg(DISTINCT f, chr(1) ORDER BY f) AS form FROM (
-    SELECT no, regexp_replace(lower(split_part(part, ':', 1)), '[^\p{L}\p{N}]+', '', 'g') || '=' ||
-      regexp_replace(lower(substr(part, strpos(part, ':') + 1)), '[^\p{L}\p{N}]+', '', 'g') AS f FROM parts) GROUP BY no
+    SELECT no, regexp_replace(lower(regexp_extract(part, '^([^:=]*)', 1)), '[^\p{L}\p{N}]+', '', 'g') || '=' ||
+      regexp_replace(lower(regexp_extract(part, '(?s)^[^:=]*[:=]?(.*)$', 1)), '[^\p{L}\p{N}]+', '', 'g') AS f FROM parts) GROUP BY no
 ), js AS (
   SELECT record_no AS no, unnest(json_keys(content::JSON)) AS k, content::JSON AS o FROM cognee_data_record WHERE lower(extension) = 'json'
 ), jsn AS (

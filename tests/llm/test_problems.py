@@ -141,7 +141,7 @@ def test_a_batch_reads_only_its_cells_of_the_history(spark, tmp_path):
     df = spark.createDataFrame(_records(), "record_no long, batch_no int, extension string, content string")
     store = _fresh(spark, tmp_path)
     store.append(df)
-    plan = store.read("texts", store.parts(), spark.createDataFrame([(4,)], "record_no long"))._jdf.queryExecution().toString()
+    plan = store.read("texts", store.parts(), spark.createDataFrame([(4,)], "record_no long"), size=1)._jdf.queryExecution().toString()
     assert "PartitionFilters" in plan and "cell" in plan.split("PartitionFilters", 1)[1].split("]")[0]
     # records equal in their set of runs, or copies, keep one entry
     assert store.read("entries", store.parts()).select("record_no").distinct().count() == 6
@@ -268,6 +268,13 @@ def test_copies_and_their_counts(spark):
     assert format_dups.group_copies(keys.filter("false"), [], "record_no").count() == 0
 
 
+def test_ranges_of_the_filter_change_nothing(spark):
+    df = spark.range(60_000).select(F.col("id").alias("no"), F.when(F.col("id") % 3 == 0, F.lit("same")).otherwise(F.concat(F.lit("t"), (F.col("id") / 2).cast("long"))).alias("content"))
+    keys = format_dups.copy_keys(df.repartition(8)).select("no", "k1", "k2")
+    one, three = (rows(format_dups.group_copies(keys, [], "no", bits), "keep_no", "copy_no", "copies") for bits in (format_dups.FILTER_BITS, 1 << 19))
+    assert one == three and len(one) == 60_000
+
+
 def test_a_third_of_all_rows_are_copies(spark):
     df = spark.range(9000).select(F.col("id").alias("no"), F.when(F.col("id") % 3 == 0, F.lit("same")).otherwise(F.concat(F.lit("t"), "id")).alias("content"))
     keys = format_dups.copy_keys(df.repartition(8)).select("no", "k1", "k2")
@@ -306,6 +313,12 @@ def test_bounds_are_optimal():
         assert cost(packing.bucket_bounds(sizes, counts, 3)) == best
 
 
+def test_a_large_capacity_is_planned_quickly():
+    sizes = np.arange(1, 32_769)
+    bounds = packing.bucket_bounds(sizes, np.ones(32_768, np.int64), 64)
+    assert bounds.tolist() == list(range(512, 32_769, 512))
+
+
 # 7: leakage
 
 
