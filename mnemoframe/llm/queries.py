@@ -57,15 +57,21 @@ def p2_add_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lists.select("add_no", "added", F.size("added").alias("added_count"), "deduplicated", F.size("deduplicated").alias("deduplicated_count"))
 
 
+def _of_texts(spark: SparkSession, sf_dir: str, operator) -> DataFrame:
+    """``operator`` over both tables of texts, with a field that knows the usual words of both."""
+    tables = {src: table(spark, sf_dir, src) for src in ("memories", "messages")}
+    field = pii.fitted(tables["memories"].select("content").unionByName(tables["messages"].select("content")))
+    parts = [operator(tables[src], no, field=field).withColumn("src", F.lit(src)) for src, no in (("memories", "memory_no"), ("messages", "message_no"))]
+    return parts[0].unionByName(parts[1])
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parts = [pii.find_items(table(spark, sf_dir, src), no).withColumn("src", F.lit(src)) for src, no in (("memories", "memory_no"), ("messages", "message_no"))]
-    return parts[0].unionByName(parts[1]).select("src", "row_no", "kind", "start_pos", "end_pos").distinct()
+    return _of_texts(spark, sf_dir, pii.find_items).select("src", "row_no", "kind", "start_pos", "end_pos").distinct()
 
 
 def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text with typed placeholders in place of its items."""
-    parts = [pii.redact(table(spark, sf_dir, src), no).withColumn("src", F.lit(src)) for src, no in (("memories", "memory_no"), ("messages", "message_no"))]
-    return parts[0].unionByName(parts[1]).select("src", "row_no", "redacted", "n_items")
+    return _of_texts(spark, sf_dir, pii.redact).select("src", "row_no", "redacted", "n_items")
 
 
 def _named_rows(spark: SparkSession, sf_dir: str) -> DataFrame:

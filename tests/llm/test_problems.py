@@ -162,35 +162,66 @@ def test_overfull_blocks_are_searched_to_the_end(spark, tmp_path):
 # 3: personal information
 
 
-def test_items_on_held_out_sentences():
-    field = pii.trained(1500)
+@pytest.fixture(scope="module")
+def half():
+    """A field trained without the sentences and names that ``compose(..., held_out=True)`` uses."""
+    return pii.Field().train(pii_examples.compose(4000, 11, False), frozenset(pii_examples.ordinary_words()))
+
+
+def test_items_on_held_out_sentences(half):
     right = wrong = missed = 0
-    for text, gold in pii_examples.compose(300, 77):
+    field = pii.Field(half.weights, frozenset(pii_examples.ordinary_words()))
+    for text, gold in pii_examples.compose(600, 77, True):
         got, gold = set(field.best(text)), set(gold)
         right, wrong, missed = right + len(got & gold), wrong + len(got - gold), missed + len(gold - got)
-    assert right / (right + wrong) > 0.95 and right / (right + missed) > 0.93
+    assert right / (right + wrong) > 0.82 and right / (right + missed) > 0.82
+
+
+def test_halves_share_nothing():
+    one, two = ({t for t, _ in pii_examples.compose(300, 1, held)} for held in (False, True))
+    assert not one & two
+    made = [pii_examples._Maker(0, held) for held in (False, True)]
+    first, second = ({m.of(pii_examples.GIVEN_NAMES) for _ in range(2000)} for m in made)
+    assert not first & second
 
 
 def test_items_in_rows(spark):
-    text = "You can reach Magdalena Grivosk at (303) 555-0177.\nStorm Zachary took 58 roofs that night."
-    df = spark.createDataFrame([(1, text, "a"), (2, None, "b"), (3, "", "c"), (4, " ", "d"), (5, "x " * 20000, "e")], "message_no long, content string, kind string")
-    field = pii.trained(1500)
-    got = rows(pii.find_items(df, "message_no", field=field), "row_no", "kind", "start_pos", "end_pos")
-    assert got == {(1, "NAME", 14, 31), (1, "PHONE", 35, 49)}
-    clean = {r.row_no: r.redacted for r in pii.redact(df, "message_no", field=field).collect()}
-    assert clean[1].startswith("You can reach [NAME] at [PHONE].\nStorm Zachary") and clean[2] is None and clean[3] == "" and len(clean[5]) == 40000
-    assert pii.find_items(df.filter("false"), "message_no", field=field).count() == 0
-
-
-def test_dynamic_programme_equals_enumeration():
-    rng = np.random.default_rng(5)
-    field = pii.Field(rng.normal(size=pii.SLOTS))
-    for text, _ in itertools.islice(pii_examples.compose(60, 5), 60):
-        groups = [g for g in pii.stretches(pii.candidates(text)) if len(g) <= 10]
-        total = sum(field.weights[pii.features(text, s)].sum() for s in field.best(text) if any(s in g for g in groups))
+    text = "You can reach Magdalena Grivosk at (303) 555-0177.\nOur house is at 12 Mill Lane, Orton 99123. Mail: ann(at)site.example"
+    df = spark.createDataFrame([(1, text, "a"), (2, None, "b"), (3, "", "c"), (4, " ", "d"), (5, "x " * 20000, "e"), (6, "No item here, only 12 eggs.", "f")], "message_no long, content string, kind string")
+    got = rows(pii.find_items(df, "message_no"), "row_no", "kind", "start_pos", "end_pos")
+    at = lambda kind, part: (1, kind, text.index(part), text.index(part) + len(part))
+    assert {g for g in got if g[1] != "NAME"} == {at("PHONE", "(303) 555-0177"), at("ADDRESS", "12 Mill Lane, Orton 99123"), at("EMAIL", "ann(at)site.example")}
+    assert (1, "NAME", 14, 31) in got
+    clean = {r.row_no: r.redacted for r in pii.redact(df, "message_no").collect()}
+    assert clean[1].startswith("You can reach [NAME] at [PHONE].\n") and clean[2] is None and clean[3] == "" and len(clean[5]) == 40000
+    assert clean[1].endswith("Mail: [EMAIL]")
+    assert pii.find_items(df.filter("false"), "message_no").count() == 0
+
+
+def test_every_part_of_a_long_run_is_a_candidate():
+    text = "Call Ngozi Okafor Ltd Archive Office Monday about 12 34 56 78 90 12 34 56"
+    spans = {(a, b) for a, b, k in pii._Text(text, frozenset()).candidates() if k == "NAME"}
+    assert {(5, 17), (0, 17), (5, 10), (11, 17)} <= spans
+    numbers = [b - a for a, b, k in pii._Text(text, frozenset()).candidates() if k == "PHONE"]
+    assert max(numbers) == len("12 34 56 78 90 12 34 56")
+    assert any(k == "EMAIL" for _, _, k in pii._Text("Ann At site.example", frozenset()).candidates())
+
+
+def test_usual_words(spark):
+    texts = ["Yesterday it rained. The road was wet."] * 5 + ["We met Orla yesterday. Orla left."] * 5
+    found = pii.usual_of(spark.createDataFrame([(t,) for t in texts], "content string"))
+    assert {"yesterday", "road", "the", "we"} <= found and "orla" not in found
+
+
+def test_dynamic_programme_equals_enumeration(half):
+    field = pii.Field(half.weights)
+    for text, _ in pii_examples.compose(60, 5):
+        read = pii._Text(text, field.usual)
+        groups = [g for g in pii.stretches(read.candidates()) if len(g) <= 10]
+        total = sum(sum(field.weights.get(f, 0.0) for f in read.features(s)) for s in field.best(text) if any(s in g for g in groups))
         best = 0.0
         for g in groups:
-            scores = [field.weights[pii.features(text, s)].sum() for s in g]
+            scores = field.scores(read, g)
             best += max(
                 sum(s for s, on in zip(scores, pick) if on)
                 for pick in itertools.product((0, 1), repeat=len(g))
