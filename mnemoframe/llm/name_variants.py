@@ -5,14 +5,17 @@ abbreviations levelled).  Tokens with many different neighbours are *common*
 (given names, trades, legal forms); what is left is the name's *root*, a
 surname or the proper part of a firm.  A symmetric-delete index finds roots
 within a small edit distance: every root is filed under all strings that arise
-by deleting up to one letter, and roots that share such a string are compared.
-Roots map to the most frequent spelling near them.  Then the other tokens of
+by deleting up to one letter (two of a long root), and roots that share such a
+string are compared.  Roots map to the most frequent spelling that a chain of
+near ones leads to.  Then the other tokens of
 two names are aligned by an optimal assignment in which an initial stands for
 any word that begins with it, an abbreviation for a word it is a subsequence
 of, and a short form for a given name.
 
 A stated place separates: names are linked inside a place; a name without
-place joins the one entity that its name fits, or others without place.
+place joins the one entity that its name fits, or others without place.  The
+place is a column; where it is null, brackets behind the name give it, else the
+first part of the description that is the place of some row.
 
 Work is done on distinct spellings, so a name that a third of the rows share is
 one row until the end.  Only the result, all pairs that name the same entity,
@@ -25,17 +28,14 @@ of the place have (without a place: any firm) stay alone.
 
 Defined results: a null or empty name (no letter or digit) names nobody and is
 no case; repeated rows under one id are one row; a null kind is told from the
-name; missing or unreadable properties mean no place; empty tables give an
-empty result; further columns are ignored.
+name; empty tables give an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
 
-import json
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -64,11 +64,11 @@ SHORT = {
     "sue": "susanna", "suzy": "susanna", "susie": "susanna", "sanna": "susanna", "vicky": "victoria", "tori": "victoria", "vic": "victoria", "mina": "wilhelmina", "willa": "wilhelmina", "minnie": "wilhelmina",
     "bill": "william", "will": "william", "liam": "william", "billy": "william", "zach": "zachary", "zack": "zachary", "hannes": "johannes", "fritz": "frederick", "lex": "alexander", "rita": "margaret", "lotte": "charlotte", "wilma": "wilhelmina", "johnny": "jonathan",
 }
-#: Words that organisations commonly have in their names, known even where the table is too small to show them common.
-USUAL = frozenset(
-    "academy agency analytics archives association aviation bank capital ceramics clinic college consulting electric energy engineering foundry group holding hospital industries institute instruments insurance laboratories library logistics media museum observatory optics orchards partners pharma press printing publishing robotics school services shipping society software solutions studio systems technologies telegraph textiles trading trust university works".split()
-)
-TRADES = {"sw": "software", "labs": "laboratories", "anl": "analytics"}
+#: Roots of more than ``LONG`` letters are filed with up to ``EDITS`` deletions and may differ by as many edits, others by one;
+#: spellings of a short root that are two edits away are therefore not linked.
+LONG, EDITS = 6, 2
+#: First letters of legal forms, which initials of a firm may end with.
+LEGAL_LETTERS = frozenset(form[0] for form in LEGAL.values())
 #: A token is common if it has at least this share of the neighbours of the token that has most, and at least ``LEAST`` neighbours.
 SHARE, LEAST = 0.3, 6
 
@@ -87,16 +87,13 @@ def tokens(name: str) -> list[str]:
     return re.findall(r"[^\W_]+", name.lower())
 
 
-def stated_place(name: str, place: str | None, description: str | None) -> tuple[str | None, int | None]:
-    """Place and year that a row states, in its own field, its description or in brackets behind the name."""
-    description = description or ""
-    year = re.search(r"\b(?:active|since) (\d{3,4})\b|^(\d{3,4}):", description)
-    year = int(year[1] or year[2]) if year else None
-    if not place:
-        patterns = (r"^(.+?); active \d+", r"^\d+: first mentioned, (.+)$", r"\bin (.+?), known since \d+", r"\b(?:from|near) (.+?), tied to ")
-        found = next((m for p in patterns if (m := re.search(p, description))), None) or re.search(r"\(([^()]*)\)\s*$", name)
-        place = found[1] if found else None
-    return (fold(place).lower().strip() or None) if place else None, year
+def place_words(name: str, text: str | None) -> tuple[str | None, list[str]]:
+    """What stands in brackets behind the name, and every part of up to three words of the runs of capitalised words in ``text``."""
+    inside = re.search(r"\(([^()]*)\)\s*$", name)
+    runs = re.findall(r"[^\W\d_a-z][\w'’-]*(?: [^\W\d_a-z][\w'’-]*)*", text or "")
+    level = lambda x: fold(x).lower().strip()
+    parts = [" ".join(words[i:j]) for r in runs for words in (r.split(" "),) for i in range(len(words)) for j in range(min(len(words), i + 3), i, -1)]
+    return level(inside[1]) or None if inside else None, list(dict.fromkeys(level(x) for x in parts))
 
 
 def distance(a: str, b: str, most: int) -> int:
@@ -116,6 +113,11 @@ def distance(a: str, b: str, most: int) -> int:
     return row[-1]
 
 
+def edits(word: str) -> int:
+    """Edits that are allowed in a root."""
+    return EDITS if len(word) > LONG else 1
+
+
 def deletes(word: str, most: int = 1) -> list[str]:
     """The word and what is left after deleting up to ``most`` letters."""
     out = last = dict.fromkeys([word])
@@ -130,9 +132,9 @@ class Lexicon:
 
     def __init__(self, common: dict[str, int], kinds: dict[str, str]) -> None:
         self.kinds, self.index = kinds, {}
-        self.trades = {w for w in [*common, *USUAL] if len(w) > 4}
         self.full = {w for names in SHORT.values() for w in names.split()}
-        self.common = dict.fromkeys([*self.full, *USUAL], 0) | common
+        self.trades = {w for w in common if len(w) > 4 and kinds.get(w) == "organization"}
+        self.common = dict.fromkeys(self.full, 0) | common
         for word in [*self.common, *SHORT]:
             for d in deletes(word) if len(word) > 4 else [word]:
                 self.index.setdefault(d, []).append(word)
@@ -151,7 +153,7 @@ class Lexicon:
         """A joined token cut before the common word it ends with."""
         if len(token) > 8 and token not in self.common:
             for i in range(3, len(token) - 4):
-                if token[i:] in self.trades and token[i:] not in self.full:
+                if token[i:] in self.trades:
                     return [token[:i], token[i:]]
         return [token]
 
@@ -173,7 +175,7 @@ def agrees(a: str, b: str) -> float:
     short, long = sorted((a, b), key=len)
     if len(short) == 1:
         return 0.6 if long[0] == short else 0.0
-    if TRADES.get(short) == long or (len(short) <= 5 and len(short) < len(long) and subsequence(short, long)):
+    if len(short) <= 5 and len(short) < len(long) and subsequence(short, long):
         return 0.8
     return 0.7 if min(len(a), len(b)) > 3 and distance(a, b, 1) <= 1 else 0.0
 
@@ -183,22 +185,42 @@ def starts(word: str) -> set[str]:
     return {word[0], *(w[0] for w in SHORT.get(word, "").split())}
 
 
-def align(a: list[str], b: list[str]) -> tuple[float, int]:
-    """Best total agreement of an assignment between two short token lists, and its unmatched pairs."""
+def assignment(gain: list[list[float]]) -> float:
+    """Largest total of an assignment of all rows to different columns (no more rows than columns), by the Hungarian method."""
+    n, m = len(gain), len(gain[0])
+    u, v, row_of = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        row_of[0], j0 = i, 0
+        least, came, used = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while row_of[j0]:
+            used[j0], i0, delta, j1 = True, row_of[j0], float("inf"), 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    cost = -gain[i0 - 1][j - 1] - u[i0] - v[j]
+                    if cost < least[j]:
+                        least[j], came[j] = cost, j0
+                    if least[j] < delta:
+                        delta, j1 = least[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[row_of[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            j0 = j1
+        while j0:
+            row_of[j0], j0 = row_of[came[j0]], came[j0]
+    return sum(gain[row_of[j] - 1][j - 1] for j in range(1, m + 1) if row_of[j])
+
+
+def align(a: list[str], b: list[str]) -> float:
+    """Best total agreement of an assignment between two token lists of any length."""
     if len(a) > len(b):
         a, b = b, a
     if not a:
-        return 0.0, 0
-    if len(b) <= 5:
-        best = max(sum(agrees(x, b[j]) for x, j in zip(a, order)) for order in permutations(range(len(b)), len(a)))
-    else:  # long lists: greedy on the best pairs
-        best, free_a, free_b = 0.0, list(a), list(b)
-        for s, x, y in sorted(((agrees(x, y), x, y) for x in set(a) for y in set(b)), reverse=True):
-            if s and x in free_a and y in free_b:
-                best += s
-                free_a.remove(x)
-                free_b.remove(y)
-    return best, len(a) - round(best + 0.45 * len(a)) if best < 0.55 * len(a) else 0
+        return 0.0
+    gain = [[agrees(x, y) for y in b] for x in a]
+    return max(gain[0]) if len(a) == 1 else assignment(gain)
 
 
 def _normalise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -206,19 +228,20 @@ def _normalise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = []
         for r in batch.itertuples():
             name = r.name if isinstance(r.name, str) else ""
-            try:
-                given = json.loads(r.properties) if isinstance(r.properties, str) else {}
-                given = given if isinstance(given, dict) else {}
-            except ValueError:
-                given = {}
-            kind = (r.kind if isinstance(r.kind, str) else None) or given.get("is_a")
-            description = r.description if isinstance(r.description, str) else given.get("description")
-            place, year = stated_place(name, given.get("place"), description if isinstance(description, str) else None)
-            since = given.get("since")
             words = tokens(name)
             if words:
-                rows.append((r.id, kind, place, since if isinstance(since, int) else year, words))
-        yield pd.DataFrame(rows, columns=["id", "kind", "place", "year", "words"]).astype({"year": "Int64"})
+                place = fold(r.place).lower().strip() if isinstance(r.place, str) else None
+                inside, said = place_words(name, r.description if isinstance(r.description, str) else None)
+                rows.append((r.id, r.kind, place or inside, said if not (place or inside) else [], words))
+        yield pd.DataFrame(rows, columns=["id", "kind", "place", "said", "words"])
+
+
+def _placed(named: DataFrame) -> DataFrame:
+    """Rows without a place of their own get the first one that their description names, places being what rows state."""
+    known = named.filter("place is not null").select(F.col("place").alias("found")).distinct()
+    told = named.filter("place is null and size(said) > 0").select("id", F.posexplode("said").alias("at", "found")).join(known, "found")
+    first = told.groupBy("id").agg(F.min_by("found", "at").alias("found"))
+    return named.join(first, "id", "left").select("id", "kind", F.coalesce("place", "found").alias("place"), "words")
 
 
 def _structure(lexicon):
@@ -244,18 +267,18 @@ def _structure(lexicon):
                     other = []
                 full = [SHORT[w] if w in SHORT and " " not in SHORT[w] else w for w in (lv or w for w, lv in zip(left, levels))]
                 bare = None if root else " ".join(sorted(full) or r.words)
-                votes = [lex.kinds.get(lv) or ("person" if lv in SHORT or lv in lex.full else "organization" if lv in USUAL else None) for lv in levels if lv]
+                votes = [lex.kinds.get(lv) or ("person" if lv in SHORT or lv in lex.full else None) for lv in levels if lv]
                 votes = [v for v in votes if v]
                 kind = "organization" if legal or acronym or "the" in r.words or "of" in r.words else votes[0] if votes else "person" if any(len(w) == 1 for w in left) else None
-                rows.append((r.kind if r.kind in ("person", "organization") else kind, r.place, r.year, " ".join(r.words), root, other, initials, acronym, bare))
-            yield pd.DataFrame(rows, columns=["kind", "place", "year", "spelling", "root", "other", "initials", "acronym", "bare"])
+                rows.append((r.kind if r.kind in ("person", "organization") else kind, r.place, " ".join(r.words), root, other, initials, acronym, bare, r.n))
+            yield pd.DataFrame(rows, columns=["kind", "place", "spelling", "root", "other", "initials", "acronym", "bare", "n"])
 
     return run
 
 
 @F.pandas_udf(T.ArrayType(T.StringType()))
 def _delete_keys(words: pd.Series) -> pd.Series:
-    return words.map(lambda w: deletes(w, 2 if len(w) > 6 else 1))
+    return words.map(lambda w: deletes(w, edits(w)))
 
 
 @F.pandas_udf(T.IntegerType())
@@ -264,17 +287,20 @@ def _apart(a: pd.Series, b: pd.Series) -> pd.Series:
 
 
 def _centres(roots: DataFrame, scope: list[str]) -> DataFrame:
-    """Map each root of a scope to the most frequent root near it, twice over: ``(scope..., root, centre)``."""
-    # roots that state the same place, year and first letter are compared as well
-    dated = F.transform("years", lambda y: F.concat_ws(":", F.lit("year"), y, F.substring("root", 1, 1)))
-    keyed = roots.select(*scope, "root", "n", F.explode(F.concat(_delete_keys("root"), dated)).alias("d"))
+    """Map each root of a scope to the top of its chain of ever more frequent near roots: ``(scope..., root, centre)``."""
+    keyed = roots.select(*scope, "root", "n", F.explode(_delete_keys("root")).alias("d"))
     other = keyed.select(*scope, "d", F.col("root").alias("near"), F.col("n").alias("near_n"))
-    pairs = keyed.join(other, [*scope, "d"]).filter("near <> root").groupBy(*scope, "root", "n", "near", "near_n").agg(F.max(F.col("d").startswith("year:")).alias("same_year"))
-    close = pairs.filter(_apart("root", "near") <= F.when(F.least(F.length("root"), F.length("near")) > 6, F.when(F.col("same_year"), 3).otherwise(2)).otherwise(1))
-    up = close.filter("near_n > n or (near_n = n and near < root)").groupBy(*scope, "root").agg(F.max_by("near", F.struct("near_n", "near")).alias("centre"))
-    first = materialize(roots.select(*scope, "root").join(up, [*scope, "root"], "left").select(*scope, "root", F.coalesce("centre", "root").alias("centre")), "centres")
-    again = first.select(*scope, F.col("root").alias("centre"), F.col("centre").alias("top"))
-    return first.join(again, [*scope, "centre"], "left").select(*scope, "root", F.coalesce("top", "centre").alias("centre"))
+    higher = F.expr("near_n > n or (near_n = n and near < root)")
+    pairs = keyed.join(other, [*scope, "d"]).filter(higher & (F.levenshtein("root", "near", 4) >= 0)).select(*scope, "root", "near", "near_n").distinct()
+    close = pairs.filter(_apart("root", "near") <= F.when(F.least(F.length("root"), F.length("near")) > LONG, EDITS).otherwise(1))
+    up = close.groupBy(*scope, "root").agg(F.max_by("near", F.struct("near_n", "near")).alias("centre"))
+    top = materialize(roots.select(*scope, "root").join(up, [*scope, "root"], "left").select(*scope, "root", F.coalesce("centre", "root").alias("centre")), "centres")
+    while True:  # every round doubles the length of the chains that are followed
+        next_ = top.select(*scope, F.col("root").alias("centre"), F.col("centre").alias("top"))
+        jumped = materialize(top.join(next_, [*scope, "centre"]).select(*scope, "root", "top", F.col("centre").alias("was")), "centres")
+        top = jumped.select(*scope, "root", F.col("top").alias("centre"))
+        if jumped.filter("top <> was").isEmpty():
+            return top
 
 
 def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -292,11 +318,11 @@ def _split(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             first = {c for w in clear for c in starts(w)}
             if not known:
                 return 0.5 if not part["letters"] or first & {w[0] for w in part["letters"]} else None
-            total = max(align(clear, [w])[0] for w in known)
+            total = max(align(clear, [w]) for w in known)
             return total if total >= 0.6 else None
         if not strong or not known:
             return 0.5
-        total, _ = align(strong, known)
+        total = align(strong, known)
         if total >= 0.6 * min(len(strong), len(known)):
             return total
         joined = [w for w in strong if len(w) <= 5]
@@ -344,11 +370,11 @@ def _fit(kind: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
         short = lambda w: len(w) == 1 or (k == "person" and len(w) < 4 and w not in SHORT)
         long_x, long_y = [w for w in x if not short(w)], [w for w in y if not short(w)]
         if long_x and long_y:
-            total, _ = align(long_x, long_y)
+            total = align(long_x, long_y)
             if total < 0.6 * min(len(long_x), len(long_y)):
                 # an organisation's initials instead of its words; the first is the root's
                 short, other = (long_x, y) if len(long_x) == 1 and len(long_x[0]) < 5 else (long_y, x)
-                if k != "person" and len(short) == 1 and 1 < len(short[0]) < 5 and {*short[0][1:]} <= {w[0] for w in other} | {*"gaslci"} and short[0][1] in {w[0] for w in other}:
+                if k != "person" and len(short) == 1 and 1 < len(short[0]) < 5 and {*short[0][1:]} <= {w[0] for w in other} | LEGAL_LETTERS and short[0][1] in {w[0] for w in other}:
                     return 0.3
                 return -1.0
         elif x and y and k == "person" and not {c for w in x for c in starts(w)} & {c for w in y for c in starts(w)}:
@@ -357,7 +383,7 @@ def _fit(kind: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
         mid_x, mid_y = {w for w in x if len(w) == 1}, {w for w in y if len(w) == 1}
         if long_x and long_y and mid_x and mid_y and not mid_x & mid_y:
             return -1.0
-        return align(x, y)[0]
+        return align(x, y)
 
     return pd.Series([one(k, x, y) for k, x, y in zip(kind, a, b)])
 
@@ -365,10 +391,11 @@ def _fit(kind: pd.Series, a: pd.Series, b: pd.Series) -> pd.Series:
 def same_names(rows: DataFrame) -> DataFrame:
     """``(id, entity)``: rows with the same ``entity`` name the same person or organisation.
 
-    ``rows`` has ``id, name, kind, properties, description`` (strings).
+    ``rows`` has ``id, name, kind, place, description`` (strings, each but the id may be null).
     """
     spark = rows.sparkSession
-    named = materialize(rows.select("id", "name", "kind", "properties", "description").filter("id is not null").mapInPandas(_normalise, "id string, kind string, place string, year int, words array<string>"), "names")
+    read = rows.select("id", "name", "kind", "place", "description").filter("id is not null").mapInPandas(_normalise, "id string, kind string, place string, said array<string>, words array<string>")
+    named = materialize(_placed(materialize(read, "read")), "names")
     # neighbours of a token in the names, at most two per place it stands in
     long = F.filter("words", lambda w: F.length(w) > 1)
     near = named.select(long.alias("w")).distinct().select(F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("b")))).alias("p")).filter("p.b is not null")
@@ -380,16 +407,16 @@ def same_names(rows: DataFrame) -> DataFrame:
     told = named.filter("kind in ('person', 'organization')").select("kind", F.explode("words").alias("t")).join(counts.filter(F.col("count") >= max(LEAST, SHARE * most)).select("t"), "t", "left_semi")
     told = told.groupBy("t", "kind").count().groupBy("t").agg(F.max_by("kind", "count").alias("kind"))
     lexicon = spark.sparkContext.broadcast(Lexicon(common, {r.t: r.kind for r in told.collect()}))
-    plain = named.select("kind", "place", "year", "words").groupBy("kind", "place", "year", "words").count().drop("count")
-    shape = plain.mapInPandas(_structure(lexicon), "kind string, place string, year int, spelling string, root string, other array<string>, initials string, acronym string, bare string")
-    forms = materialize(shape.distinct(), "forms")
+    plain = named.select("kind", "place", "words").groupBy("kind", "place", "words").agg(F.count("*").alias("n"))
+    shape = plain.mapInPandas(_structure(lexicon), "kind string, place string, spelling string, root string, other array<string>, initials string, acronym string, bare string, n long")
+    forms = materialize(shape, "forms")
     whole = forms.filter("root <> ''")
-    spellings = whole.groupBy("kind", "place", "root", "spelling", "other", "initials").agg(F.count("*").alias("n"), F.array_sort(F.collect_set("year")).alias("years"))
+    spellings = whole.groupBy("kind", "place", "root", "spelling", "other", "initials").agg(F.sum("n").alias("n"))
     # a kind that neither the row nor the name tells: the one the same root has elsewhere
     kinds = spellings.filter("kind is not null").groupBy("root").agg(F.max_by("kind", "n").alias("kind_there"))
-    spellings = materialize(spellings.join(kinds, "root", "left").withColumn("kind", F.coalesce("kind", "kind_there", F.lit("person"))).groupBy("kind", "place", "root", "spelling", "other", "initials").agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("years"))).alias("years")), "spellings")
+    spellings = materialize(spellings.join(kinds, "root", "left").withColumn("kind", F.coalesce("kind", "kind_there", F.lit("person"))).groupBy("kind", "place", "root", "spelling", "other", "initials").agg(F.sum("n").alias("n")), "spellings")
     placed = spellings.filter("place is not null")
-    centres = _centres(placed.groupBy("kind", "place", "root").agg(F.sum("n").alias("n"), F.array_distinct(F.flatten(F.collect_list("years"))).alias("years")), ["kind", "place"])
+    centres = _centres(placed.groupBy("kind", "place", "root").agg(F.sum("n").alias("n")), ["kind", "place"])
     grouped = placed.join(centres, ["kind", "place", "root"]).repartition("kind", "place", "centre").sortWithinPartitions("kind", "place", "centre")
     parts = materialize(grouped.select("kind", "place", "centre", "root", "spelling", "other", "initials", "n").mapInPandas(_split, "kind string, place string, centre string, root string, spelling string, other array<string>, initials string, part int"), "parts")
     entity = F.concat_ws("|", "kind", "place", "centre", "part")
@@ -398,7 +425,7 @@ def same_names(rows: DataFrame) -> DataFrame:
     free = spellings.filter("place is null")
     keys = free.select("kind", "root").distinct().withColumn("d", F.explode(_delete_keys("root")))
     targets = known.select("kind", F.col("centre").alias("target")).distinct().withColumn("d", F.explode(_delete_keys("target")))
-    reach = keys.join(targets, ["kind", "d"]).select("kind", "root", "target").distinct().withColumn("far", _apart("root", "target")).filter("far <= 1 or (far = 2 and length(root) > 7)")
+    reach = keys.join(targets, ["kind", "d"]).filter(F.levenshtein("root", "target", 4) >= 0).select("kind", "root", "target").distinct().withColumn("far", _apart("root", "target")).filter("far <= 1 or (far = 2 and length(root) > 7)")
     shown = known.select("kind", F.col("centre").alias("target"), "entity", F.col("other").alias("shown"), F.col("root").alias("spelt")).distinct()
     offers = free.select("kind", "root", "spelling", "other").join(reach, ["kind", "root"]).join(shown, ["kind", "target"])
     offers = offers.withColumn("fit", _fit("kind", "other", "shown") - F.col("far") * 0.5).filter("fit > -0.9")
@@ -408,7 +435,7 @@ def same_names(rows: DataFrame) -> DataFrame:
     single = top.filter("r = 1").groupBy("kind", "root", "spelling").agg(F.count("*").alias("n"), F.min("entity").alias("entity")).filter("n = 1").drop("n")
     joined = materialize(single, "joined")
     lone = free.join(joined, ["kind", "root", "spelling"], "left_anti").withColumn("place", F.lit(""))
-    lone_centres = _centres(lone.groupBy("kind", "place", "root").agg(F.sum("n").alias("n"), F.array().cast("array<int>").alias("years")), ["kind", "place"])
+    lone_centres = _centres(lone.groupBy("kind", "place", "root").agg(F.sum("n").alias("n")), ["kind", "place"])
     lone = lone.join(lone_centres, ["kind", "place", "root"]).repartition("kind", "place", "centre").sortWithinPartitions("kind", "place", "centre")
     lone = lone.select("kind", "place", "centre", "root", "spelling", "other", "initials", "n").mapInPandas(_split, "kind string, place string, centre string, root string, spelling string, other array<string>, initials string, part int").withColumn("entity", entity)
     # initials alone: the organisation of that place with those initials

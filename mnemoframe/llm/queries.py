@@ -75,10 +75,10 @@ def p3_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _named_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    empty = F.lit(None).cast("string")
-    nodes = table(spark, sf_dir, "graph_node").filter("type = 'Entity' and get_json_object(properties, '$.is_a') in ('person', 'organization')")
-    nodes = nodes.select("id", "name", empty.alias("kind"), "properties", empty.alias("description"))
-    return nodes.unionByName(table(spark, sf_dir, "entity_results").select("id", "name", F.col("entity_type").alias("kind"), empty.alias("properties"), "description"))
+    of = lambda key: F.get_json_object("properties", f"$.{key}")
+    nodes = table(spark, sf_dir, "graph_node").filter("type = 'Entity'").select("id", "name", of("is_a").alias("kind"), of("place").alias("place"), of("description").alias("description"))
+    hits = table(spark, sf_dir, "entity_results").select("id", "name", F.col("entity_type").alias("kind"), F.lit(None).cast("string").alias("place"), "description")
+    return nodes.filter("kind in ('person', 'organization')").unionByName(hits)
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -233,28 +233,38 @@ def test_dynamic_programme_equals_enumeration(half):
 # 4: names
 
 
+_NAMED = "id string, name string, kind string, place string, description string"
+
+
+def _others():
+    """Enough other firms and people for the table to show which words are common."""
+    kinds = ["Institute", "Software", "Archive", "Telegraph"]
+    roots = ["Velmot", "Karnuth", "Osperd", "Jundal", "Wexhim", "Tabrok", "Hulvane", "Pristow", "Corbeld", "Nethaz"]
+    return [(f"z{i}{j}", f"{r} {k}", "organization", f"Place{i}", None) for i, r in enumerate(roots) for j, k in enumerate(kinds)]
+
+
 def test_names_of_one_entity(spark):
-    node = lambda i, name, kind, place=None: (i, name, None, '{"is_a": "%s"%s}' % (kind, f', "place": "{place}"' if place else ""), None, "x")
     data = [
-        node("a1", "Richard S. Dalliskberg", "person", "Kurtville"),
-        node("a2", "DALLISKBERG Richard", "person", "Kurtville"),
-        node("a3", "Dalliskberg, Rick", "person", "Kurtville"),
-        node("a4", "R. Dalliskbreg", "person", "Kurtville"),
-        node("a5", "Richard Dalliskberg", "person"),
-        node("b1", "Richard Dalliskborne", "person", "Elsewhere"),
-        node("c1", "Drazust Institute S.A.", "organization", "Norby"),
-        node("c2", "Institute of Drazust", "organization", "Norby"),
-        node("c3", "drazust_institute_sa", "organization", "Norby"),
-        node("c4", "The Drazust Inst.", "organization", "Norby"),
-        node("c5", "Drazust Institute", "organization", "Southby"),
-        node("d1", "", "person"),
-        (None, "Nobody", "person", None, None, "x"),
-        ("e1", None, "person", "not json", None, "x"),
-        ("a6", "Richard Dalliskberg", "person", None, "Kurtville; active 1958", "x"),
+        ("a1", "Richard S. Dalliskberg", "person", "Kurtville", None),
+        ("a2", "DALLISKBERG Richard", "person", "Kurtville", None),
+        ("a3", "Dalliskberg, Rick", "person", "Kurtville", None),
+        ("a4", "R. Dalliskbreg", "person", "Kurtville", None),
+        ("a5", "Richard Dalliskberg", "person", None, None),
+        ("a6", "Richard Dalliskberg", "person", None, "A painter whom Kurtville remembers"),
+        ("a7", "Richard Dalliskberg (Kurtville)", "person", None, None),
+        ("b1", "Richard Dalliskborne", "person", "Elsewhere", None),
+        ("c1", "Drazust Institute S.A.", "organization", "Norby", None),
+        ("c2", "Institute of Drazust", "organization", "Norby", None),
+        ("c3", "drazust_institute_sa", "organization", "Norby", None),
+        ("c4", "The Drazust Inst.", "organization", "Norby", None),
+        ("c5", "Drazust Institute", "organization", "Southby", None),
+        ("d1", "", "person", None, None),
+        (None, "Nobody", "person", None, None),
+        ("e1", None, "person", "Norby", "not a name"),
     ]
-    df = spark.createDataFrame(data, "id string, name string, kind string, properties string, description string, root string")
+    df = spark.createDataFrame(data + _others(), _NAMED).withColumn("root", F.lit("clash")).withColumn("n", F.lit(1))
     got = rows(name_variants.same_name_pairs(df), "id_a", "id_b")
-    expected = set(itertools.combinations(["a1", "a2", "a3", "a4", "a5", "a6"], 2)) | set(itertools.combinations(["c1", "c2", "c3", "c4"], 2))
+    expected = set(itertools.combinations(["a1", "a2", "a3", "a4", "a5", "a6", "a7"], 2)) | set(itertools.combinations(["c1", "c2", "c3", "c4"], 2))
     assert got == expected
     assert name_variants.same_name_pairs(df.filter("false")).count() == 0
 
@@ -266,10 +276,29 @@ def test_names_without_a_root_link_to_their_equals(spark):
         ("c1", "IBM", "organization", "Norby"), ("c2", "I.B.M.", "organization", "Norby"), ("c3", "IBN", "organization", "Norby"), ("c4", "Drazust Institute", "organization", "Norby"),
         ("d1", "NI", "organization", "Westby"), ("d2", "NI", "organization", "Westby"), ("d3", "Norvask Institute", "organization", "Westby"), ("d4", "Nulbrand Institute", "organization", "Westby"),
     ]
-    df = spark.createDataFrame([(i, n, k, None, f"{p}; active 1958" if p else None) for i, n, k, p in data], "id string, name string, kind string, properties string, description string")
+    df = spark.createDataFrame([(*r, None) for r in data] + _others(), _NAMED)
     assert rows(name_variants.same_name_pairs(df), "id_a", "id_b") == {("a1", "a2"), ("b1", "b2"), ("b1", "b3"), ("b2", "b3"), ("c1", "c2")}
 
 
+def test_a_chain_of_spellings_leads_to_one_centre(spark):
+    """Each spelling is near the next only; the first is four steps from the last."""
+    chain = ["kolvemaht", "kolvemahtx", "kolvemahtxyz", "kolvemahtxyzuv", "kolvemahtxyzuvrs"]
+    roots = spark.createDataFrame([("person", "p", w, 10 - i) for i, w in enumerate(chain)], "kind string, place string, root string, n long")
+    assert rows(name_variants._centres(roots, ["kind", "place"]), "centre") == {(chain[0],)}
+
+
+def test_assignment_is_optimal_at_every_length():
+    rng = np.random.default_rng(8)
+    for _ in range(60):
+        n = int(rng.integers(1, 5))
+        m = int(rng.integers(n, 7))
+        gain = rng.integers(0, 10, (n, m)) / 10
+        best = max(sum(gain[i, j] for i, j in enumerate(order)) for order in itertools.permutations(range(m), n))
+        assert name_variants.assignment(gain.tolist()) == pytest.approx(best)
+    long = [f"word{i}" for i in range(12)]
+    assert name_variants.align(long, long[::-1]) == 12
+
+
 @pytest.mark.parametrize("a, b, d", [("kitten", "kitten", 0), ("abcd", "abdc", 1), ("abc", "abcd", 1), ("abcdef", "badcfe", 3), ("a", "xyz", 3)])
 def test_distance(a, b, d):
     assert name_variants.distance(a, b, 3) == d
