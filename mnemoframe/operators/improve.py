@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe.functions import ids, score, vector
 from mnemoframe.operators import graph
+from mnemoframe.session import hinted
 
 SLOTS = 8
 
@@ -131,7 +132,7 @@ def centroids_changed(old: DataFrame, new: DataFrame, tolerance: float = 1e-6) -
 def align_chunks(chunks: DataFrame, centroids: DataFrame, k: int = SLOTS) -> DataFrame:
     """``(id, alignment)``: cosine of every chunk vector with each centroid of its dataset, padded to ``k`` numbers."""
     basis = centroids.groupBy("dataset_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("slot", "centroid"))), lambda s: s["centroid"]).alias("basis"))
-    return chunks.join(F.broadcast(basis), "dataset_id", "left").select("id", "dataset_id", vector.pad(F.coalesce(vector.coordinates(F.col("vector"), F.col("basis")), F.array().cast("array<double>")), k).alias("alignment"))
+    return chunks.join(hinted(basis), "dataset_id", "left").select("id", "dataset_id", vector.pad(F.coalesce(vector.coordinates(F.col("vector"), F.col("basis")), F.array().cast("array<double>")), k).alias("alignment"))
 
 
 def truth_factors(states: DataFrame, queries: DataFrame, epoch: int) -> DataFrame:
@@ -141,7 +142,7 @@ def truth_factors(states: DataFrame, queries: DataFrame, epoch: int) -> DataFram
     """
     asked = queries.filter(F.size("q_coords") > 0)
     now = states.filter(F.col("truth_epoch") == epoch)
-    return now.crossJoin(F.broadcast(asked)).select("query_id", "id", vector.truth_factor(F.col("alignment"), F.col("q_coords")).alias("truth_factor"))
+    return now.join(hinted(asked), F.size("q_coords") > 0).select("query_id", "id", vector.truth_factor(F.col("alignment"), F.col("q_coords")).alias("truth_factor"))
 
 
 def memify(nodes: DataFrame, edges: DataFrame, dimensions: int = 32) -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mnemoframe.functions import score, text, vector
-from mnemoframe.session import hinted
+from mnemoframe.session import hinted, materialize
 
 
 def top_k(df: DataFrame, by: list[str], k: int, *order: Column) -> DataFrame:
@@ -25,50 +27,92 @@ def token_df(corpus: DataFrame) -> DataFrame:
     return corpus.select(F.explode(F.array_distinct(text.content_tokens(F.col("text")))).alias("token")).groupBy("token").agg(F.count("*").alias("df"))
 
 
-def bm25(corpus: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+def token_index(corpus: DataFrame) -> DataFrame:
+    """``(id, length, token, tf)`` of every text with a token: what all lexical rankings read, so that texts are split once."""
+    tokens = corpus.select("id", text.content_tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
+    counts = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("token")).groupBy("id", "length", "token").agg(F.count("*").alias("tf"))
+    return materialize(counts, "tokens")
+
+
+def _asked(queries: DataFrame) -> DataFrame:
+    """``(query_id, token, n)``, written once as every ranking reads it several times."""
+    tokens = queries.select("query_id", F.explode(text.content_tokens(F.col("text"))).alias("token"))
+    return materialize(tokens.groupBy("query_id", "token").agg(F.count("*").alias("n")), "asked")
+
+
+def bm25(corpus: DataFrame, queries: DataFrame, k: int = 10, index: DataFrame | None = None) -> DataFrame:
     """Top ``k`` texts ``(query_id, id, score, rank)`` of each query; texts that score nothing are left out.
 
-    ``corpus`` has ``id, text``, ``queries`` has ``query_id, text``.  Only
-    tokens that some query asks for leave the scan, so the shuffle holds hits,
-    not the corpus.
+    ``corpus`` has ``id, text``, ``queries`` has ``query_id, text``; ``index``
+    is the corpus' ``token_index`` if there is one.  Only tokens that some
+    query asks for leave the index's scan.
     """
-    asked = queries.select("query_id", F.explode(F.array_distinct(text.content_tokens(F.col("text")))).alias("token"))
-    vocabulary = hinted(asked.select("token").distinct())
-    tokens = corpus.select("id", text.content_tokens(F.col("text")).alias("tokens")).filter(F.size("tokens") > 0)
-    hits = tokens.select("id", F.size("tokens").alias("length"), F.explode("tokens").alias("token")).join(vocabulary, "token", "left_semi")
-    tf = hits.groupBy("id", "token").agg(F.count("*").alias("tf"), F.first("length").alias("length"))
+    index = token_index(corpus) if index is None else index
+    asked = _asked(queries).select("query_id", "token")
+    tf = index.join(hinted(asked.select("token").distinct()), "token", "left_semi")
     df = tf.groupBy("token").agg(F.count("*").alias("df"))
-    weights = df.crossJoin(F.broadcast(corpus_stats(corpus))).select("token", score.idf(F.col("n_chunks"), F.col("df")).alias("idf"), "avg_length")
-    terms = asked.join(weights, "token").join(tf, "token").select("query_id", "id", score.bm25_term(F.col("idf"), F.col("tf"), F.col("length"), F.col("avg_length")).alias("part"))
+    stats = index.groupBy("id").agg(F.first("length").alias("n")).agg(F.count("*").alias("n_chunks"), F.coalesce(F.avg("n"), F.lit(0.0)).alias("avg_length"))
+    weights = df.crossJoin(F.broadcast(stats)).select("token", score.idf(F.col("n_chunks"), F.col("df")).alias("idf"), "avg_length")
+    weighted = asked.join(weights, "token")
+    terms = tf.join(hinted(materialize(weighted, "weighted")), "token").select("query_id", "id", score.bm25_term(F.col("idf"), F.col("tf"), F.col("length"), F.col("avg_length")).alias("part"))
     scored = terms.groupBy("query_id", "id").agg(F.round(F.sum("part"), 6).alias("score"))
     return top_k(scored, ["query_id"], k, F.desc("score"), F.asc("id")).filter("score > 0")
 
 
-def lexical(corpus: DataFrame, queries: DataFrame, k: int = 10, multiset: bool = False) -> DataFrame:
+def lexical(corpus: DataFrame, queries: DataFrame, k: int = 10, multiset: bool = False, index: DataFrame | None = None) -> DataFrame:
     """Top ``k`` texts by the Jaccard similarity of token sets, or of multisets.
 
-    Texts that share no token with the query score zero and are not listed.
+    Where fewer than ``k`` texts share a token with a query that has any, the
+    first others by id follow with a score of zero; texts without a token are
+    no candidates.
     """
-    side = lambda df, key: df.select(key, F.explode(text.content_tokens(F.col("text"))).alias("token")).groupBy(key, "token").agg(F.count("*").alias("n"))
-    q, d = side(queries, "query_id"), side(corpus, "id")
+    index = token_index(corpus) if index is None else index
+    q, d = _asked(queries), index.select("id", "length", "token", F.col("tf").alias("m"))
     if not multiset:
-        q, d = q.withColumn("n", F.lit(1)), d.withColumn("n", F.lit(1))
-    q_size, d_size = q.groupBy("query_id").agg(F.sum("n").alias("q_size")), d.groupBy("id").agg(F.sum("n").alias("d_size"))
-    both = d.join(hinted(q.withColumnRenamed("n", "m")), "token").groupBy("query_id", "id").agg(F.sum(F.least("n", "m")).alias("common"))
-    scored = both.join(q_size, "query_id").join(d_size, "id").withColumn("score", F.round(F.col("common") / (F.col("q_size") + F.col("d_size") - F.col("common")), 6))
-    return top_k(scored.select("query_id", "id", "score"), ["query_id"], k, F.desc("score"), F.asc("id"))
+        q, d = q.withColumn("n", F.lit(1)), d.withColumn("m", F.lit(1))
+    q_size = q.groupBy("query_id").agg(F.sum("n").alias("q_size"))
+    d_size = index.select("id", F.col("length").alias("d_size")).distinct() if multiset else index.groupBy("id").agg(F.count("*").alias("d_size"))
+    both = d.join(hinted(q), "token").groupBy("query_id", "id").agg(F.sum(F.least("n", "m")).alias("common"))
+    scored = both.join(hinted(q_size), "query_id").join(d_size, "id").withColumn("score", F.round(F.col("common") / (F.col("q_size") + F.col("d_size") - F.col("common")), 6))
+    best = top_k(scored.select("query_id", "id", "score"), ["query_id"], k, F.desc("score"), F.asc("id")).drop("rank")
+    best = materialize(best, "best")
+    # at most k zeros a query are needed, and the first 2 k texts hold them: k at most are among the best already
+    few = q_size.join(best.groupBy("query_id").count(), "query_id", "left").filter(F.coalesce("count", F.lit(0)) < k).select("query_id")
+    first = index.select("id").distinct().orderBy("id").limit(2 * k)
+    zeros = few.crossJoin(F.broadcast(first)).join(best, ["query_id", "id"], "left_anti").withColumn("score", F.lit(0.0))
+    return top_k(best.unionByName(zeros), ["query_id"], k, F.desc("score"), F.asc("id"))
+
+
+#: Query vectors that are sent to every executor at once; more are taken in blocks of so many.
+QUERY_BLOCK = 20_000
 
 
 def nearest(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", by: tuple[str, ...] = ()) -> DataFrame:
     """Exact top ``k`` points ``(query_id, id, score, rank)`` of each query vector, in each group of the columns ``by``.
 
     ``points`` has ``id, vector``, ``queries`` has ``query_id, vector``; the
-    stated queries are sent to the points (broadcast while they are few).
+    stated queries are sent to the points in blocks of bounded size.
     """
     measure = {"cosine": vector.cosine, "dot": vector.dot, "euclidean": lambda a, b: -vector.euclidean(a, b)}[metric]
-    pairs = points.crossJoin(hinted(queries.select("query_id", F.col("vector").alias("asked")), 20_000))
-    scored = pairs.filter(F.size("vector") == F.size("asked")).select("query_id", *by, "id", F.round(measure(F.col("vector"), F.col("asked")), 6).alias("score"))
-    return top_k(scored, ["query_id", *by], k, F.desc("score"), F.asc("id"))
+    asked = queries.select("query_id", F.col("vector").alias("asked"))
+    parts = []
+    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
+    for i in range(blocks):
+        mine = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        pairs = points.crossJoin(F.broadcast(mine)).filter(F.size("vector") == F.size("asked"))
+        scored = pairs.select("query_id", *by, "id", F.round(measure(F.col("vector"), F.col("asked")), 6).alias("score"))
+        parts.append(top_k(scored, ["query_id", *by], k, F.desc("score"), F.asc("id")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def limit_then_filter(points: DataFrame, queries: DataFrame, keep: Column, k: int = 10, window: int = 4096) -> DataFrame:
+    """The ``window`` nearest points of each query, of which those that ``keep`` holds for, the first ``k``.
+
+    An index that cannot filter answers so; points behind the window are not
+    seen.  ``keep`` is a condition on the columns of ``points``.
+    """
+    near = nearest(points, queries, max(window, k)).drop("rank")
+    return top_k(near.join(points.filter(keep).select("id"), "id", "left_semi").select("query_id", "id", "score"), ["query_id"], k, F.desc("score"), F.asc("id"))
 
 
 def fuse(lanes: dict[str, DataFrame], k: int, weights: DataFrame | None = None, truth: DataFrame | None = None) -> DataFrame:

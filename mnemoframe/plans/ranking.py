@@ -27,10 +27,9 @@ def _queries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _vectors(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """All embeddings, and as queries the first of every label."""
+    """All embeddings, and as queries those whose id 20 divides."""
     e = table(spark, sf, "embeddings")
-    first = e.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("vector"), F.min("vec_id").alias("query_id"))
-    return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label"), first.select("query_id", "vector")
+    return e.select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"), "label"), e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vector"))
 
 
 def corpus_stats(spark, sf):
@@ -71,16 +70,25 @@ def vector_filtered_topk(spark, sf):
     return ranking.nearest(tagged.filter(F.array_contains("sets", "set_1")), queries)
 
 
+def vector_limit_then_filter(spark, sf):
+    """Limit before filter: what an index without filters gives, from the 64 nearest of each query."""
+    points, queries = _vectors(spark, sf)
+    return ranking.limit_then_filter(points, queries, F.col("label") % 3 == 1, window=64)
+
+
 def vector_batch_knn(spark, sf):
-    """The points of one collection nearest to each of its earliest points, all in one plan."""
-    p = table(spark, sf, "vector_points").filter("collection_name = 'EdgeType_relationship_name' and vector is not null and size(vector) = dimension")
+    """In every collection the points nearest to each point whose number 20 divides, all in one plan."""
+    p = table(spark, sf, "vector_points").filter("vector is not null and size(vector) = dimension")
     p = p.filter(~F.exists("vector", lambda x: F.isnan(x)) & F.exists("vector", lambda x: x != 0))
-    points = p.select(F.col("point_no").alias("id"), "vector")
-    return ranking.nearest(points, p.filter("point_no % 20 = 0").select(F.col("point_no").alias("query_id"), "vector"), 10)
+    points = spread(p.select(F.col("point_no").alias("id"), F.col("collection_name").alias("collection"), "vector"))
+    return ranking.nearest(points, p.filter("point_no % 20 = 0").select(F.col("point_no").alias("query_id"), "vector"), 10, by=("collection",))
 
 
 def _lanes(spark, sf):
-    return {"bm25": ranking.bm25(_corpus(spark, sf), _queries(spark, sf), 20), "lexical": ranking.lexical(_corpus(spark, sf), _queries(spark, sf), 20)}
+    """Two lanes over one index of the corpus."""
+    corpus, queries = _corpus(spark, sf), _queries(spark, sf)
+    index = ranking.token_index(corpus)
+    return {"bm25": ranking.bm25(corpus, queries, 20, index=index), "lexical": ranking.lexical(corpus, queries, 20, index=index)}
 
 
 def hybrid_rrf(spark, sf):
@@ -128,9 +136,10 @@ def truth_coords(spark, sf):
 
 
 def truth_factors(spark, sf):
-    """Truth factor of every vector's first four numbers against the mean of all."""
-    e = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", 1, 4).alias("v"))
-    mean = e.agg(F.array(*(F.avg(F.col("v")[i].cast("double")) for i in range(4))).alias("q"))
+    """Truth factor of every vector against the mean of all."""
+    e = table(spark, sf, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    means = e.select(F.posexplode("v").alias("i", "x")).groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"))
+    mean = means.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "m"))), lambda z: z["m"]).alias("q"))  # as many rows as dimensions
     return e.crossJoin(F.broadcast(mean)).select("vec_id", F.round(vector.truth_factor(F.col("v"), F.col("q")), 5).alias("factor"))
 
 
@@ -138,7 +147,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         corpus_stats, token_df, bm25_topk, lexical_jaccard_topk, lexical_multiset_jaccard, vector_topk_cosine, vector_metrics_dot_l2, vector_filtered_topk,
-        vector_batch_knn, hybrid_rrf, hybrid_rrf_importance, importance_weighting, router_scores, recall_overlap, token_count, frequent_words, truth_coords, truth_factors,
+        vector_limit_then_filter, vector_batch_knn, hybrid_rrf, hybrid_rrf_importance, importance_weighting, router_scores, recall_overlap, token_count, frequent_words, truth_coords, truth_factors,
     )
 }
 
@@ -156,8 +165,8 @@ _JACCARD = f"""
 q AS (SELECT item_id AS query_id, token, @N@ AS n FROM (SELECT item_id, unnest({tokens_sql('text')}) AS token FROM eval_items) GROUP BY ALL),
 d AS (SELECT id, token, @N@ AS n FROM (SELECT doc_id AS id, unnest({tokens_sql('text')}) AS token FROM documents) GROUP BY ALL),
 jc AS (SELECT query_id, id, sum(least(q.n, d.n)) AS common FROM q JOIN d USING (token) GROUP BY ALL),
-ja AS (SELECT query_id, id, round(common / (qs + ds - common), 6) AS score FROM jc
-  JOIN (SELECT query_id, sum(n) AS qs FROM q GROUP BY 1) USING (query_id) JOIN (SELECT id, sum(n) AS ds FROM d GROUP BY 1) USING (id))
+ja AS (SELECT query_id, id, round(coalesce(common, 0) / (qs + ds - coalesce(common, 0)), 6) AS score FROM (SELECT query_id, sum(n) AS qs FROM q GROUP BY 1)
+  CROSS JOIN (SELECT id, sum(n) AS ds FROM d GROUP BY 1) LEFT JOIN jc USING (query_id, id))
 """
 _RANK = "(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1)::INT AS rank"
 _FUSED = f"""
@@ -169,7 +178,7 @@ s AS (SELECT query_id, id, round(raw * @FACTOR@, 8) AS score, round(raw, 8) AS r
 SELECT query_id, id, score, rrf, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, rrf DESC, best, id) - 1)::INT AS rank FROM s QUALIFY rank < 10
 """
 _COS = f"list_dot_product({{0}}::DOUBLE[], {{1}}::DOUBLE[]) / greatest(sqrt(list_dot_product({{0}}::DOUBLE[], {{0}}::DOUBLE[])) * sqrt(list_dot_product({{1}}::DOUBLE[], {{1}}::DOUBLE[])), {F32_EPSILON})"
-_FIRST = "q AS (SELECT min(vec_id) AS query_id, arg_min(embedding, vec_id) AS v FROM embeddings GROUP BY label)"
+_FIRST = "q AS (SELECT vec_id AS query_id, embedding AS v FROM embeddings WHERE vec_id % 20 = 0)"
 
 ORACLE = {
     "corpus_stats": f"SELECT count(*) AS n_chunks, round(coalesce(avg(n), 0), 6) AS avg_length FROM (SELECT len({tokens_sql('text')}) AS n FROM documents) WHERE n > 0",
@@ -182,9 +191,12 @@ ORACLE = {
       e AS (SELECT query_id, vec_id AS id, round(-list_distance(embedding::DOUBLE[], v::DOUBLE[]), 6) AS score FROM embeddings, q)
       (SELECT query_id, id, score, {_RANK}, 'dot' AS metric FROM s QUALIFY rank < 5) UNION ALL (SELECT query_id, id, score, {_RANK}, 'euclidean' AS metric FROM e QUALIFY rank < 5)""",
     "vector_filtered_topk": f"WITH {_FIRST}, s AS (SELECT query_id, vec_id AS id, round({_COS.format('embedding', 'v')}, 6) AS score FROM embeddings, q WHERE label % 3 = 1) SELECT query_id, id, score, {_RANK} FROM s QUALIFY rank < 10",
-    "vector_batch_knn": f"""WITH p AS (SELECT point_no AS id, vector AS w FROM vector_points WHERE collection_name = 'EdgeType_relationship_name' AND len(vector) = dimension
+    "vector_batch_knn": f"""WITH p AS (SELECT point_no AS id, collection_name AS collection, vector AS w FROM vector_points WHERE len(vector) = dimension
         AND len(list_filter(vector, lambda x: isnan(x))) = 0 AND len(list_filter(vector, lambda x: x <> 0)) > 0),
-      s AS (SELECT b.id AS query_id, a.id, round({_COS.format('a.w', 'b.w')}, 6) AS score FROM p a, p b WHERE b.id % 20 = 0) SELECT query_id, id, score, {_RANK} FROM s QUALIFY rank < 10""",
+      s AS (SELECT b.id AS query_id, a.collection, a.id, round({_COS.format('a.w', 'b.w')}, 6) AS score FROM p a, p b WHERE b.id % 20 = 0 AND len(a.w) = len(b.w))
+      SELECT query_id, collection, id, score, (row_number() OVER (PARTITION BY query_id, collection ORDER BY score DESC, id) - 1)::INT AS rank FROM s QUALIFY rank < 10""",
+    "vector_limit_then_filter": f"""WITH {_FIRST}, s AS (SELECT query_id, vec_id AS id, label, round({_COS.format('embedding', 'v')}, 6) AS score FROM embeddings, q), w AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS r FROM s QUALIFY r <= 64)
+      SELECT query_id, id, score, {_RANK} FROM w WHERE label % 3 = 1 QUALIFY rank < 10""",
     "hybrid_rrf": _FUSED.replace("@FACTOR@", "1.0::DOUBLE").replace("@JOIN@", ""),
     "hybrid_rrf_importance": _FUSED.replace("@FACTOR@", "(0.75::DOUBLE + 0.5::DOUBLE * greatest(0, least(1, coalesce(w, 0.5::DOUBLE))))").replace(
         "@JOIN@",
@@ -203,6 +215,6 @@ ORACLE = {
       b AS (SELECT label AS slot, list(m ORDER BY i) AS basis FROM d GROUP BY label)
       SELECT vec_id, label AS own, slot, round(list_dot_product(embedding::DOUBLE[], basis) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(basis, basis))), 5) AS coordinate
       FROM embeddings, b WHERE slot < 8""",
-    "truth_factors": """WITH e AS (SELECT vec_id, embedding[1:4]::DOUBLE[] AS v FROM embeddings), q AS (SELECT [greatest(avg(v[1]), 0), greatest(avg(v[2]), 0), greatest(avg(v[3]), 0), greatest(avg(v[4]), 0)] AS w FROM e)
+    "truth_factors": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT i, greatest(avg(x), 0) AS m FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e) GROUP BY i), q AS (SELECT list(m ORDER BY i) AS w FROM m)
       SELECT vec_id, round(0.75::DOUBLE + 0.5::DOUBLE * CASE WHEN list_sum(w) > 0 THEN greatest(0, least(1, list_dot_product(v, w) / list_sum(w))) ELSE 0.5::DOUBLE END, 5) AS factor FROM e, q""",
 }

@@ -29,12 +29,15 @@ def get_session(app: str = "mnemoframe", cores: int | str = "*", partitions: int
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: ``spark.checkpoint.dir`` of the session.
 
-    Only where that setting is absent (tests, a laptop) a temporary folder of
-    our own is made and used for the life of the application.
+    Only where that setting is absent and the session is local (tests, a
+    laptop) a temporary folder of our own is made and used for the life of the
+    application; on a cluster that folder would be the driver's alone.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _OWN_DIR:
         _OWN_DIR[app] = tempfile.mkdtemp(prefix="mnemoframe-")
@@ -58,11 +61,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def hinted(df: DataFrame, rows: int = 200_000) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows, else as it is."""
+#: Largest estimated size of a side that is sent to every executor by a hint.
+HINT_BYTES = 8 << 20
+
+
+def size_of(df: DataFrame) -> int:
+    """The optimizer's estimate of a frame's size in bytes; no job is run."""
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+
+
+def hinted(df: DataFrame, most: int = HINT_BYTES) -> DataFrame:
+    """``df`` with a broadcast hint if it is estimated at ``most`` bytes or less; else as it is, and AQE decides by its real size."""
     from pyspark.sql import functions as F
 
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if size_of(df) <= most else df
 
 
 def spread(df: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,19 +9,48 @@ from mnemoframe.operators.graph import upsert
 
 
 class Store:
-    """Versioned tables under a root; the newest finished version of a table is the one that is read."""
+    """Versioned tables under a root; a table is its newest finished version.
+
+    Versions are numbered folders; Spark's ``_SUCCESS`` says that one is
+    finished, so a store can be opened again by anyone and a write that broke
+    off changes nothing.
+    """
 
     def __init__(self, spark: SparkSession, root: str) -> None:
-        self.spark, self.root, self.current = spark, root.rstrip("/"), {}
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _fs(self, path: str):
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
+
+    def _versions(self, name: str) -> dict[int, bool]:
+        """Numbers of the versions, each with whether it is finished."""
+        fs, p = self._fs(f"{self.root}/{name}")
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return {int(n): fs.exists(self._fs(f"{self.root}/{name}/{n}/_SUCCESS")[1]) for n in names if n.isdigit()}
+
+    def collections(self) -> list[str]:
+        """Tables that have a finished version."""
+        fs, p = self._fs(self.root)
+        names = [f.getPath().getName() for f in fs.listStatus(p)] if fs.exists(p) else []
+        return sorted(n for n in names if any(self._versions(n).values()))
 
     def read(self, name: str) -> DataFrame | None:
-        return self.spark.read.parquet(self.current[name]) if name in self.current else None
+        done = [n for n, finished in self._versions(name).items() if finished]
+        return self.spark.read.parquet(f"{self.root}/{name}/{max(done)}") if done else None
 
     def write(self, name: str, df: DataFrame, partition_by: list[str] | None = None) -> None:
-        path = f"{self.root}/{name}/{uuid.uuid4().hex}"
-        writer = df.write
+        path = f"{self.root}/{name}/{max(self._versions(name), default=-1) + 1}"
+        writer = df.write.mode("error")
         (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-        self.current[name] = path
+
+    def drop(self, name: str) -> None:
+        fs, p = self._fs(f"{self.root}/{name}")
+        fs.delete(p, True)
+
+    def retrieve(self, name: str, keys: DataFrame) -> DataFrame:
+        """Rows whose key is listed."""
+        return self.read(name).join(keys, keys.columns, "left_semi")
 
     def merge(self, name: str, new: DataFrame, key: list[str], keep_from_old: tuple[str, ...] = (), partition_by: list[str] | None = None) -> None:
         old = self.read(name)
