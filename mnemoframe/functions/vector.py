@@ -92,6 +92,16 @@ def deterministic_vector(text: Column, dimensions: int) -> Column:
     return vectors(text)
 
 
+def hashed_vector(text: Column, dimensions: int = 4) -> Column:
+    """Offline stand-in for an embedding that any SQL engine can repeat: groups of four hex digits of the MD5, scaled to -1 to 1; at most 8 numbers."""
+    return F.when(text.isNotNull(), F.array(*((F.conv(F.substring(F.md5(text), 4 * i + 1, 4), 16, 10).cast("double") - 32768) / 32768 for i in range(dimensions))))
+
+
+def hashed_vector_sql(text: str, dimensions: int = 4) -> str:
+    """The same in DuckDB's SQL."""
+    return "[" + ", ".join(f"(('0x' || substr(md5({text}), {4 * i + 1}, 4))::INT - 32768) / 32768.0::DOUBLE" for i in range(dimensions)) + "]"
+
+
 def mean_pool(rows: Column, mask: Column, dimensions: int) -> Column:
     """Masked mean of a sequence of vectors; the divisor is at least one."""
     kept = F.filter(F.arrays_zip(rows.alias("v"), mask.alias("m")), lambda z: z["m"] > 0)

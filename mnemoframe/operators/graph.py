@@ -19,7 +19,10 @@ def keep_last(df: DataFrame, key: list[str], *newest: Column) -> DataFrame:
 def upsert(old: DataFrame, new: DataFrame, key: list[str], keep_from_old: tuple[str, ...] = ()) -> DataFrame:
     """Merge ``new`` into ``old`` by key; the columns named last keep their old value."""
     both = old.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
-    groups = both.groupBy(*key).agg(*(F.min_by(c, "_new").alias(c) if c in keep_from_old else F.max_by(c, "_new").alias(c) for c in old.columns if c not in key))
+    rest = [c for c in old.columns if c not in key]
+    if not rest:
+        return both.select(*old.columns).distinct()
+    groups = both.groupBy(*key).agg(*(F.min_by(c, "_new").alias(c) if c in keep_from_old else F.max_by(c, "_new").alias(c) for c in rest))
     return groups.select(*old.columns)
 
 

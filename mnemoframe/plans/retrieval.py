@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from mnemoframe.functions import ids, score, text, vector
 from mnemoframe.functions.fixed import TOP_K, WIDE_K
-from mnemoframe.operators import graph, improve, ontology, ranking, records, router, visual
+from mnemoframe.operators import context, cypher, graph, improve, ontology, ranking, records, router, visual
 from mnemoframe.session import hinted, materialize, table
 
 
@@ -23,12 +23,16 @@ class Tables:
     """What retrieval reads.  ``vectors`` is ``(collection, id, vector)``; queries are ``(query_id, text, vector)``.
 
     The id of a relationship's point is that of ``records.index_rows``.
+    ``payload`` is ``(collection, id, text, source_chunk_id)``: the texts of the
+    points, and for summaries the chunk that they sum up.  A column
+    ``importance_weight`` of the nodes, if there is one, weighs chunks.
     """
 
     nodes: DataFrame
     edges: DataFrame
     vectors: DataFrame
     messages: DataFrame | None = None
+    payload: DataFrame | None = None
 
 
 @dataclass
@@ -38,12 +42,18 @@ class Params:
     collections: tuple[str, ...] = ("Entity_name", "TextSummary_text", "EntityType_name", "DocumentChunk_text", RELATIONSHIPS, "Triplet_text")
     answer: Callable | None = None  # a column function (question, context) -> answer; without it the prompt is returned
     template: str = "Question: {question}\nContext: {context}"
+    # validate(question, answer, context) -> true if the answer will do; follow_up(question, answer, context) -> next question
+    validate: Callable | None = None
+    follow_up: Callable | None = None
     extra: dict = field(default_factory=dict)
 
 
 def _collection(name: str):
     def search(t: Tables, queries: DataFrame, p: Params) -> DataFrame:
-        return ranking.nearest(t.vectors.filter(F.col("collection") == name), queries, p.top_k)
+        found = ranking.nearest(t.vectors.filter(F.col("collection") == name), queries, p.top_k)
+        if t.payload is None:
+            return found
+        return found.join(t.payload.filter(F.col("collection") == name).select("id", "text"), "id", "left").select("query_id", "id", "score", "rank", "text")
 
     return search
 
@@ -66,11 +76,67 @@ def graph_completion(t: Tables, queries: DataFrame, p: Params) -> DataFrame:
     return ranking.top_k(scored, ["query_id"], p.top_k, F.asc("score"), F.asc("source_id"), F.asc("relationship_name"), F.asc("target_id")).select("query_id", *ways.columns, "score", "rank")
 
 
+def chunk_lanes(t: Tables, queries: DataFrame, p: Params) -> dict[str, DataFrame]:
+    """Lexical, vector and summary lanes, all by chunk: a summary's hit counts for its source chunk, the first one of a chunk.
+
+    Summaries without a source chunk, and those whose chunk is gone, take no part.
+    """
+    chunks = t.nodes.filter("type = 'DocumentChunk'").select("id", "text")
+    wide = Params(top_k=2 * p.top_k)
+    summaries = ranking.nearest(t.vectors.filter("collection = 'TextSummary_text'"), queries, p.top_k)
+    payload = t.payload if t.payload is not None else t.nodes.select(F.lit("").alias("collection"), "id", F.lit(None).cast("string").alias("source_chunk_id")).filter("false")
+    source = payload.filter("collection = 'TextSummary_text' and source_chunk_id is not null").select("id", "source_chunk_id")
+    of_chunk = summaries.join(source, "id").groupBy("query_id", F.col("source_chunk_id").alias("id")).agg(F.min("rank").alias("rank"))
+    kept = context.backfill(of_chunk.withColumn("text", F.lit(None).cast("string")), chunks).select("query_id", "id", "rank")
+    near = ranking.nearest(t.vectors.filter("collection = 'DocumentChunk_text'"), queries, wide.top_k)
+    return {"bm25": ranking.bm25(chunks, queries, wide.top_k), "vector": near, "summary": kept}
+
+
 def hybrid(t: Tables, queries: DataFrame, p: Params) -> DataFrame:
-    """Lexical and vector lanes of chunks and the lane of their summaries, fused by reciprocal rank."""
-    corpus = t.nodes.filter("type = 'DocumentChunk'").select("id", "text")
-    lanes = {"bm25": ranking.bm25(corpus, queries, 2 * p.top_k), "vector": _collection("DocumentChunk_text")(t, queries, Params(top_k=2 * p.top_k)), "summary": _collection("TextSummary_text")(t, queries, p)}
-    return ranking.fuse(lanes, p.top_k)
+    """Three lanes of chunks fused by reciprocal rank, weighed by importance."""
+    chunks = t.nodes.filter("type = 'DocumentChunk'")
+    weights = chunks.select("id", "importance_weight") if "importance_weight" in t.nodes.columns else chunks.select("id", F.lit(None).cast("double").alias("importance_weight"))
+    return ranking.fuse(chunk_lanes(t, queries, p), p.top_k, weights)
+
+
+def hybrid_context(t: Tables, queries: DataFrame, p: Params) -> DataFrame:
+    """``(query_id, passages, entities, facts)``: what a hybrid completion shows, each part one line an item.
+
+    Entities are the nearest ones with their edges, facts the nearest
+    relationships that no entity shows.
+    """
+    lines = lambda df, order, line: df.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line.alias("l")))), lambda x: x["l"]), "\n").alias("lines"))
+    texts = t.nodes.select("id", "text")
+    passages = lines(hybrid(t, queries, p).join(texts, "id"), F.col("rank"), F.coalesce("text", F.lit("")))
+    hits = materialize(ranking.nearest(t.vectors.filter(F.col("collection").isin("Entity_name", RELATIONSHIPS)), queries, p.top_k, by=("collection",)), "hits")
+    kinds = t.edges.select("relationship_name").distinct().withColumn("id", ids.data_point_id("EdgeType", F.col("relationship_name")))
+    ranked = context.edge_ranks(hits.join(kinds, "id").select("query_id", "relationship_name", "rank"))
+    entities = hits.filter("collection = 'Entity_name'")
+    bullets = materialize(context.entity_bullets(t.nodes, t.edges, entities, ranked), "bullets")
+    shown = lines(bullets.join(entities.select("query_id", F.col("id").alias("entity_id"), "rank"), ["query_id", "entity_id"]), F.struct("rank", "place"), F.col("bullet"))
+    rest = ranked.join(bullets.select("query_id", "relationship_name").distinct(), ["query_id", "relationship_name"], "left_anti")
+    facts = lines(rest, F.col("edge_rank"), text.fact_display(F.col("relationship_name")))
+    out = queries.select("query_id")
+    for name, part in (("passages", passages), ("entities", shown), ("facts", facts)):
+        out = out.join(part.withColumnRenamed("lines", name), "query_id", "left").withColumn(name, F.coalesce(name, F.lit("")))
+    return out
+
+
+def events_inside(nodes: DataFrame, edges: DataFrame, queries: DataFrame) -> DataFrame:
+    """``(query_id, id)``: events at timestamps inside each query's interval ``(low_ms, high_ms)``, directly or through an interval node."""
+    stamps = nodes.filter("type = 'Timestamp'").select(F.col("id").alias("stamp"), "time_at")
+    inside = hinted(queries.select("query_id", "low_ms", "high_ms")).join(stamps, (F.col("low_ms").isNull() | (F.col("time_at") >= F.col("low_ms"))) & (F.col("high_ms").isNull() | (F.col("time_at") <= F.col("high_ms"))))
+    ways = graph.both_ways(edges)
+    kinds = nodes.select(F.col("id").alias("other"), "type")
+    first = inside.join(ways, F.col("stamp") == F.col("id")).join(kinds, "other").select("query_id", F.col("other").alias("id"), "type")
+    through = first.filter("type = 'Interval'").select("query_id", "id").join(ways, "id").join(kinds, "other").filter("type = 'Event'").select("query_id", F.col("other").alias("id"))
+    return first.filter("type = 'Event'").select("query_id", "id").unionByName(through).distinct()
+
+
+def rank_events(events: DataFrame, scores: DataFrame, k: int) -> DataFrame:
+    """The first ``k`` events ``(query_id, id)`` by the largest of their scores ``(query_id, id, score)``, 0 without any."""
+    best = scores.groupBy("query_id", "id").agg(F.max("score").alias("score"))
+    return ranking.top_k(events.join(best, ["query_id", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))), ["query_id"], k, F.desc("score"), F.asc("id"))
 
 
 def temporal(t: Tables, queries: DataFrame, p: Params) -> DataFrame:
@@ -79,33 +145,32 @@ def temporal(t: Tables, queries: DataFrame, p: Params) -> DataFrame:
     Scores are the largest of those of touching triplets and of the event's own
     name, 0 without any, however different their scales.
     """
-    stamps = t.nodes.filter("type = 'Timestamp'").select(F.col("id").alias("stamp"), "time_at")
-    inside = hinted(queries.select("query_id", "low_ms", "high_ms")).join(stamps, (F.col("low_ms").isNull() | (F.col("time_at") >= F.col("low_ms"))) & (F.col("high_ms").isNull() | (F.col("time_at") <= F.col("high_ms"))))
-    ways = graph.both_ways(t.edges)
-    kinds = t.nodes.select(F.col("id").alias("other"), "type")
-    first = inside.join(ways, F.col("stamp") == F.col("id")).join(kinds, "other").select("query_id", F.col("other").alias("id"), "type")
-    through = first.filter("type = 'Interval'").select("query_id", "id").join(ways, "id").join(kinds, "other").filter("type = 'Event'").select("query_id", F.col("other").alias("id"))
-    events = first.filter("type = 'Event'").select("query_id", "id").unionByName(through).distinct()
+    events = events_inside(t.nodes, t.edges, queries)
     edges = graph_completion(t, queries, Params(top_k=p.wide_k, collections=p.collections))
     touch = edges.select("query_id", F.explode(F.array("source_id", "target_id")).alias("id"), "score")
     own = ranking.nearest(t.vectors.filter("collection = 'Event_name'"), queries, p.wide_k).select("query_id", "id", "score")
-    best = touch.unionByName(own).groupBy("query_id", "id").agg(F.max("score").alias("score"))
-    return ranking.top_k(events.join(best, ["query_id", "id"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))), ["query_id"], p.top_k, F.desc("score"), F.asc("id"))
+    return rank_events(events, touch.unionByName(own), p.top_k)
 
 
 def coding_rules(t: Tables, queries: DataFrame, p: Params) -> DataFrame:
     rules = t.nodes.filter(F.exists(F.array("type", "name"), lambda x: F.contains(F.lower(x), F.lit("rule")))).select("id", "name", "text")
-    return hinted(queries.select("query_id")).crossJoin(rules).orderBy("query_id", "name", "id")
+    return hinted(queries.select("query_id")).crossJoin(rules)  # every rule is for every query
+
 
+def context_text(t: Tables, found: DataFrame) -> DataFrame:
+    """``(query_id, context)``: the texts of the hits, or the edges with their nodes' names, in the order of their ranks; hits without text are left out."""
+    if "relationship_name" in found.columns:
+        return context.edges_text(found, t.nodes).withColumnRenamed("text", "context")
+    shown = found if "text" in found.columns else found.join(t.nodes.select("id", "text"), "id", "left")
+    # top_k rows a query
+    return shown.filter("text is not null").groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "text"))), lambda s: s["text"]), "\n").alias("context"))
 
-def completion(context: Callable) -> Callable:
+
+def completion(search: Callable) -> Callable:
     """A search type whose context is answered by ``params.answer``, or returned as a prompt."""
 
     def run(t: Tables, queries: DataFrame, p: Params) -> DataFrame:
-        found = context(t, queries, p)
-        shown = F.col("text") if "text" in found.columns else F.concat_ws(" ", *(c for c in ("source_id", "relationship_name", "target_id", "id") if c in found.columns))
-        # top_k rows a query
-        joined = found.groupBy("query_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", shown.alias("t")))), lambda s: s["t"]), "\n").alias("context"))
+        joined = context_text(t, search(t, queries, p))
         asked = queries.select("query_id", F.col("text").alias("question")).join(joined, "query_id", "left").withColumn("context", F.coalesce("context", F.lit("")))
         prompt = text.render_prompt(F.lit(p.template), F.col("question"), F.col("context"))
         return asked.select("query_id", (p.answer(F.col("question"), F.col("context")) if p.answer else prompt).alias("answer"), "context")
@@ -113,16 +178,21 @@ def completion(context: Callable) -> Callable:
     return run
 
 
-def rounds(context: Callable, most: int = 4) -> Callable:
+def _merged(before: DataFrame | None, found: DataFrame) -> DataFrame:
+    """Hits of all rounds, each once, in the order in which they came."""
+    keys = [c for c in ("source_id", "relationship_name", "target_id", "id") if c in found.columns]
+    both = found if before is None else before.unionByName(found)
+    kept = graph.keep_last(both, ["query_id", *keys], F.asc("round"), F.asc("rank"))
+    return materialize(kept, "rounds")
+
+
+def rounds(search: Callable, most: int = 4) -> Callable:
     """Up to ``most`` rounds: each answer is the next question; contexts merge; ends when nothing is new."""
 
     def run(t: Tables, queries: DataFrame, p: Params) -> DataFrame:
         asked, merged, size = queries, None, -1
         for n in range(most):
-            found = context(t, asked, p).withColumn("round", F.lit(n))
-            keys = [c for c in ("source_id", "relationship_name", "target_id", "id") if c in found.columns]
-            merged = found if merged is None else merged.unionByName(found)
-            merged = materialize(graph.keep_last(merged, ["query_id", *keys], F.asc("round"), F.asc("rank")), "rounds")
+            merged = _merged(merged, search(t, asked, p).withColumn("round", F.lit(n)))
             if p.answer is None or merged.count() == size:
                 break
             size = merged.count()
@@ -133,6 +203,26 @@ def rounds(context: Callable, most: int = 4) -> Callable:
     return run
 
 
+def reasoned(search: Callable, most: int = 4) -> Callable:
+    """Up to ``most`` rounds: an answer that ``params.validate`` refuses leads to the question that ``params.follow_up`` asks; its hits are added."""
+
+    def run(t: Tables, queries: DataFrame, p: Params) -> DataFrame:
+        asked, merged = queries, None
+        for n in range(most):
+            merged = _merged(merged, search(t, asked, p).withColumn("round", F.lit(n)))
+            if not (p.answer and p.validate and p.follow_up) or n == most - 1:
+                break
+            answers = completion(lambda *_: merged)(t, queries, p).join(queries.select("query_id", F.col("text").alias("question")), "query_id")
+            said = (F.col("question"), F.col("answer"), F.col("context"))
+            open_ = materialize(answers.filter(~F.coalesce(p.validate(*said), F.lit(False))).select("query_id", p.follow_up(*said).alias("text")), "open")
+            if open_.isEmpty():
+                break
+            asked = queries.drop("text").join(open_, "query_id")
+        return merged
+
+    return run
+
+
 def feeling_lucky(t: Tables, queries: DataFrame, p: Params) -> DataFrame:
     """Each query by the search type that the router chooses; types that are not here fall back to chunks."""
     routed = materialize(router.route(queries.select("query_id", "text")).select("query_id", "target"), "routed")
@@ -174,7 +264,7 @@ SEARCH_TYPES: dict[str, Callable[[Tables, DataFrame, Params], DataFrame]] = {
     "GraphCompletion": graph_completion,
     "GraphSummaryCompletion": completion(graph_completion),
     "GraphCompletionContextExtension": rounds(graph_completion),
-    "GraphCompletionCot": rounds(graph_completion),
+    "GraphCompletionCot": reasoned(graph_completion),
     "HybridCompletion": hybrid,
     "Temporal": temporal,
     "CodingRules": coding_rules,
@@ -192,7 +282,9 @@ def search(t: Tables, queries: DataFrame, kind: str = "GraphCompletion", params:
 
 
 def raw_query(spark: SparkSession, t: Tables, sql: str) -> DataFrame:
-    """Pass-through query over the views ``nodes`` and ``edges``; only reading is allowed."""
+    """A reading query over ``nodes`` and ``edges``: SQL over views of these names, or the Cypher subset of ``operators/cypher``."""
+    if sql.lstrip().lower().startswith("match"):
+        return cypher.query(t.nodes, t.edges, sql)
     if not sql.lstrip().lower().startswith(("select", "with")):
         raise ValueError("only reading queries are allowed")
     t.nodes.createOrReplaceTempView("nodes")

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from mnemoframe.plans import graph, ingest, ledger, ranking, records, retrieval
+from mnemoframe.plans import graph, ingest, ledger, measures, ranking, records, retrieval, searches
 
-MODULES: list = [ranking, graph, ledger, ingest, retrieval, records]
+MODULES: list = [ranking, graph, ledger, ingest, retrieval, records, searches, measures]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

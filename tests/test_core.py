@@ -272,6 +272,122 @@ def test_hybrid_and_prompt(spark):
     assert retrieval.raw_query(spark, t, "select count(*) as n from edges").first().n == 1
 
 
+def test_summaries_count_for_their_chunks(spark):
+    nodes = spark.createDataFrame([("c1", "", "DocumentChunk", "the copper kettle boils", 0.9), ("c2", "", "DocumentChunk", "an iron bridge", None)], "id string, name string, type string, text string, importance_weight double")
+    vectors = spark.createDataFrame([("DocumentChunk_text", "c1", [0.0, 1.0]), ("DocumentChunk_text", "c2", [1.0, 0.0]), ("TextSummary_text", "s1", [1.0, 0.0]), ("TextSummary_text", "s9", [1.0, 0.0])], "collection string, id string, vector array<float>")
+    payload = spark.createDataFrame([("TextSummary_text", "s1", "kettle", "c1"), ("TextSummary_text", "s9", "gone", "c9"), ("DocumentChunk_text", "c1", "the copper kettle boils", None)], "collection string, id string, text string, source_chunk_id string")
+    q = spark.createDataFrame([(1, "bridge", [1.0, 0.1])], "query_id int, text string, vector array<float>")
+    t = retrieval.Tables(nodes, spark.createDataFrame([], "source_id string, target_id string, relationship_name string"), vectors, payload=payload)
+    lanes = {name: [(r.id, r["rank"]) for r in lane.orderBy("rank").collect()] for name, lane in retrieval.chunk_lanes(t, q, retrieval.Params()).items()}
+    assert lanes == {"bm25": [("c2", 0)], "vector": [("c2", 0), ("c1", 1)], "summary": [("c1", 0)]}
+    rag = retrieval.search(t, q, "RagCompletion").first()
+    assert rag.context == "the copper kettle boils"  # the other chunk has no text in the payload
+
+
+def test_reasoning_stops_when_the_answer_will_do(spark):
+    calls = []
+
+    def find(t, queries, p):
+        calls.append(1)
+        return queries.select("query_id", F.concat(F.lit("hit "), "text").alias("id"), F.lit(0).alias("rank"), F.col("text"))
+
+    q = spark.createDataFrame([(1, "a"), (2, "bbbb")], "query_id int, text string")
+    p = retrieval.Params(answer=lambda question, shown: shown, validate=lambda q, a, c: F.length(q) > 3, follow_up=lambda q, a, c: F.concat(q, F.lit("!")))
+    got = {(r.query_id, r.id) for r in retrieval.reasoned(find)(retrieval.Tables(q, q, q), q, p).collect()}
+    assert got == {(1, "hit a"), (1, "hit a!"), (2, "hit bbbb")} and len(calls) == 4
+
+
+def test_zero_scores_fill_the_ranking(spark):
+    from mnemoframe.operators import ranking
+
+    corpus = spark.createDataFrame([(1, "iron bridge"), (2, "copper kettle"), (3, ""), (4, None), (5, "wool coat")], "id int, text string")
+    q = spark.createDataFrame([(1, "copper"), (2, ""), (3, None)], "query_id int, text string")
+    got = [(r.query_id, r.id, r.score) for r in ranking.lexical(corpus, q, 2).orderBy("query_id", "rank").collect()]
+    assert got == [(1, 2, 0.5), (1, 1, 0.0)]
+    assert ranking.lexical(corpus.filter("false"), q).count() == 0 and ranking.bm25(corpus.filter("false"), q).count() == 0
+
+
+def test_queries_in_blocks_and_windows(spark, monkeypatch):
+    from mnemoframe.operators import ranking
+
+    points = spark.createDataFrame([(i, [float(i), 1.0], i % 2) for i in range(12)], "id int, vector array<double>, odd int")
+    asked = points.select(F.col("id").alias("query_id"), "vector")
+    whole = {tuple(r) for r in ranking.nearest(points, asked, 3).collect()}
+    monkeypatch.setattr(ranking, "QUERY_BLOCK", 5)
+    assert {tuple(r) for r in ranking.nearest(points, asked, 3).collect()} == whole
+    near = ranking.limit_then_filter(points, asked.filter("query_id = 4"), F.col("odd") == 1, 3, window=3).collect()
+    assert {r.id for r in near} == {3, 5} and len(near) == 2
+
+
+def test_store_is_opened_again(spark, tmp_path):
+    from mnemoframe.sources.tables import Store
+
+    one = Store(spark, str(tmp_path / "s"))
+    one.write("t", spark.createDataFrame([(1, "a"), (2, "b")], "id int, x string"))
+    two = Store(spark, str(tmp_path / "s"))
+    two.merge("t", spark.createDataFrame([(2, "c")], "id int, x string"), ["id"])
+    (tmp_path / "s" / "t" / "9").mkdir()  # a write that broke off
+    assert {tuple(r) for r in Store(spark, str(tmp_path / "s")).read("t").collect()} == {(1, "a"), (2, "c")}
+    one.write("t", spark.createDataFrame([(3, "d")], "id int, x string"))
+    assert one.collections() == ["t"] and one.read("t").first().x == "d"
+    one.drop("t")
+    assert two.read("t") is None and two.collections() == []
+
+
+def test_cypher_reads_and_refuses(spark):
+    from mnemoframe.operators import cypher
+
+    nodes = spark.createDataFrame([("a", "Ann", "Person"), ("b", "Bob", "Person"), ("x", "Mill, old", "Place"), ("n", None, None)], "id string, name string, type string")
+    edges = spark.createDataFrame([("a", "b", "knows"), ("b", "x", "owns"), ("a", "a", "knows")], "source_id string, target_id string, relationship_name string")
+    ask = lambda q: [tuple(r) for r in cypher.query(nodes, edges, q).collect()]
+    assert ask("MATCH (p:Person)-[:knows]->(q) RETURN p.name, q.name AS other ORDER BY other") == [("Ann", "Ann"), ("Ann", "Bob")]
+    assert ask("match (p {name: 'Bob'}) -[r]- (q) return q.id as q, r.relationship_name as r order by q desc") == [("x", "owns"), ("a", "knows")]
+    assert ask("MATCH (p)-[:knows]->(p) RETURN p.id") == [("a",)]
+    assert ask("MATCH (x:Place)<-[:owns]-(b) WHERE x.name = 'Mill, old' AND b.name <> 'a.b' RETURN count(*) AS n") == [(1,)]
+    assert ask("MATCH (p:Nobody) RETURN p.id") == []
+    for bad in ("CREATE (n)", "MATCH (n) DELETE n", "MATCH (a), (b) RETURN a.id", "MATCH n RETURN n", "RETURN 1"):
+        with pytest.raises(ValueError):
+            cypher.query(nodes, edges, bad)
+
+
+def test_services_repeat_and_wait(spark):
+    from mnemoframe.functions import services
+
+    tries = []
+
+    def flaky(x):
+        tries.append(x)
+        if len(tries) < 3:
+            raise OSError("busy")
+        return x + 1
+
+    assert services.Retry(3).call(flaky, 1) == 2 and len(tries) == 3
+    tries.clear()
+    with pytest.raises(OSError):
+        services.Retry(2).call(flaky, 1)
+    now, slept = [0.0], []
+    sleep = lambda s: (slept.append(s), now.__setitem__(0, now[0] + s))
+    bucket = services.Bucket(2.0, 1.0, lambda: now[0], sleep)
+    for _ in range(3):
+        bucket.take()
+    assert slept == [0.5, 0.5]
+    df = spark.createDataFrame([("ab",), (None,), ("",)], "t string")
+    assert [r[0] for r in df.select(services.served(F.col("t"), lambda v: [x.upper() for x in v])).collect()] == ["AB", None, ""]
+
+
+def test_tokenizer_counts(spark):
+    import os
+
+    from mnemoframe.functions import services
+
+    if not os.path.exists("/opt/tokenizers/byte_bpe_50k.tiktoken"):
+        pytest.skip("no tokenizer files")
+    df = spark.createDataFrame([("hello world",), (None,), ("",)], "t string")
+    counts = [[r[0] for r in df.select(services.token_counts(F.col("t"), f"/opt/tokenizers/{name}")).collect()] for name in ("byte_bpe_50k.tiktoken", "byte_bpe_50k.json", "piece_bpe_32k.model")]
+    assert counts[0] == counts[1] and counts[0][0] >= 2 and counts[2][0] >= 2
+    assert all(c[1:] == [None, 0] for c in counts)
+
+
 def test_lucky_natural_language_and_feedback(spark):
     nodes = spark.createDataFrame([("c1", "", "DocumentChunk", "the copper kettle boils"), ("c2", "", "DocumentChunk", "an iron bridge")], "id string, name string, type string, text string")
     edges = spark.createDataFrame([("c1", "c2", "near")], "source_id string, target_id string, relationship_name string")
