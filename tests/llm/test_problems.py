@@ -81,6 +81,23 @@ def test_similar_vectors_of_nothing(spark):
     assert vector_neighbors.nearest(vector_neighbors.usable_vectors(df.filter("false"))).count() == 0
 
 
+def test_a_dense_cluster_is_cut(spark):
+    """Two fifths of the rows lie in one cluster, all different; its buckets are cut and its nearest pairs are found."""
+    rng = np.random.default_rng(6)
+    d, n = 32, 3000
+    centre = rng.normal(size=d)
+    x = np.concatenate([centre + 0.35 * rng.normal(size=(2 * n // 5, d)) * rng.random((2 * n // 5, 1)), rng.normal(size=(3 * n // 5, d))])
+    code = x @ vector_neighbors.learn_rotation(x, 60) > 0
+    cut = vector_neighbors.deeper_keys(code, 6, 10, 3000, split=200)
+    assert len(cut) == 10 and all((depth >= 1).all() for _, depth in cut.values())
+    assert not vector_neighbors.deeper_keys(code, 6, 10, 3000)
+    df = spark.createDataFrame([(i, "a", d, [float(v) for v in r]) for i, r in enumerate(x)], "point_no long, collection_name string, dimension int, vector array<float>")
+    usable = vector_neighbors.usable_vectors(df)
+    exact = rows(vector_neighbors.exact_nearest(usable, usable.filter("no % 20 = 0"), 10, 0.8), "no", "neighbour_no")
+    found = rows(vector_neighbors.nearest(usable, 10, 0.8, split=200).filter("no % 20 = 0"), "no", "neighbour_no")
+    assert len(exact & found) >= 0.9 * len(exact) and len(exact) > 500
+
+
 def test_more_rows_take_longer_keys():
     assert vector_neighbors.plan_tables(10_000, 0.8)[0] <= vector_neighbors.plan_tables(10_000_000, 0.8)[0]
 
