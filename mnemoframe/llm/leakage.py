@@ -4,11 +4,14 @@ Pigeonhole edit matching on words.  A leak is a run of ``run`` consecutive
 words of an item (all its words if it has fewer) that occurs in a document with
 at most ``errors`` word edits.  Items are cut into aligned pieces so short that
 every run contains ``errors + 1`` whole pieces; as each edit spoils one piece,
-some piece occurs exactly.  Documents are scanned once for the hashes of all
-pieces, and each hit is verified with Myers' bit-parallel distance over words.
-
-The item side is a fixed test set.  It is sent to the executors in blocks of at
-most ``BLOCK_WORDS`` words, whatever its size; a larger set means more scans.
+some piece occurs exactly.  Documents are scanned once, whatever the size of the
+test set: a filter of all pieces, ``FILTER_BITS`` large at most, lets the places
+through that may hold one, each with the words around it.  Hits join the pieces
+by their hash, and each pair is verified with Myers' bit-parallel distance over
+words.  The items of a piece that very many have are held in parts of ``PART``;
+very many places of one piece are left to Spark's skew join, or need no shuffle
+where the pieces are few.  A document's places at the same distance from its
+begin of context and with the same words around them are one.
 
 Defined results: null or wordless texts and items leak nothing; an item listed
 twice is reported once per distinct id; empty tables give an empty result;
@@ -18,7 +21,6 @@ further columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemoframe.llm.tokenhash import inside, windows, words
+from mnemoframe.session import materialize
 
 RUN = 12
-BLOCK_WORDS = 2_000_000
+#: Bits of the filter of pieces (2 MB when sent); 16 a piece, and above that size more places pass it and are dropped by the join.
+FILTER_BITS, BITS_PER_PIECE = 1 << 24, 16
+#: Items of one piece that meet a place in one row group of the join.
+PART = 64
 
 
 def myers(pattern: dict[int, int], size: int, text: list[int]) -> int:
@@ -61,81 +67,96 @@ def piece_length(run: int, errors: int) -> int:
     return max(1, (run + 1) // (errors + 2))
 
 
-class _Items:
-    """Pieces and words of a block of items, ready for probing."""
-
-    def __init__(self, ids: list[int], texts: list[str | None], run: int, errors: int) -> None:
-        self.run, self.errors, self.ids = run, errors, ids
-        self.words: list[np.ndarray] = []
-        for part in words(texts, "nfkc"):
-            self.words += [part.hashes[a:b] for a, b in zip(part.bounds[:-1], part.bounds[1:])]
-        self.by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
-        found: dict[int, list[tuple[int, int, int]]] = {}
-        for i, w in enumerate(self.words):
-            if len(w):
-                size = piece_length(min(run, len(w)), min(errors, len(w) - 1))
-                for at in range(0, len(w) - size + 1, size):
-                    found.setdefault(size, []).append((int(windows(w[at : at + size], size)[0]), i, at))
-        for size, rows in found.items():
-            rows.sort()
-            h, i, at = zip(*rows)
-            self.by_size[size] = np.array(h, np.uint64), np.array(i), np.array(at)
-
-    def search(self, text: np.ndarray, size: int, at: int, first: int, last: int, known: set[int]) -> Iterator[tuple[int, int]]:
-        """Items and smallest distances for document word ``at``, which begins the pieces ``first:last``.
-
-        Items in ``known`` were found without an edit already.
-        """
-        _, item, place = self.by_size[size]
-        for k in range(first, last):
-            if self.ids[item[k]] in known:
-                continue
-            w = self.words[item[k]]
-            run = min(self.run, len(w))
-            best = self.errors + 1
-            for start in range(max(0, place[k] + size - run), min(place[k], len(w) - run) + 1):
-                masks: dict[int, int] = {}
-                for j, word in enumerate(w[start : start + run].tolist()):
-                    masks[word] = masks.get(word, 0) | 1 << j
-                low = max(0, at - (place[k] - start) - self.errors)
-                near = text[low : at + run - (place[k] - start) + self.errors]
-                best = min(best, myers(masks, run, near.tolist()))
-                if not best:
-                    break
-            if best <= min(self.errors, run - 1):
-                yield self.ids[item[k]], best
-
-
-_SCHEMA = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int32())])
-
-
-def _scan(shared):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        items = shared.value
+_PIECES = "h long, size int, item_id long, place int, run int, around array<long>"
+
+
+def _pieces(run: int, errors: int):
+    """Aligned pieces of items, each with the words of the runs that hold it."""
+    schema = pa.schema([("h", pa.int64()), ("size", pa.int32()), ("item_id", pa.int64()), ("place", pa.int32()), ("run", pa.int32()), ("around", pa.list_(pa.int64()))])
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, rows = batch.column(0).to_pylist(), []
+            for part in words(batch.column(1).to_pylist(), "nfkc"):
+                for i, (a, b) in enumerate(zip(part.bounds[:-1], part.bounds[1:])):
+                    w = part.hashes[a:b]
+                    if not len(w):
+                        continue
+                    wide = min(run, len(w))
+                    size = piece_length(wide, min(errors, len(w) - 1))
+                    for at in range(0, len(w) - size + 1, size):
+                        low, high = max(0, at + size - wide), min(len(w), at + wide)
+                        h = int(windows(w[at : at + size], size).view(np.int64)[0])
+                        rows.append((h, size, ids[part.first + i], at - low, wide, w[low:high].view(np.int64).tolist()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows) if rows else [()] * 6, schema)], schema=schema)
+
+    return cut
+
+
+def _places(sizes: list[int], bits: int, shared, run: int, errors: int):
+    """Places of documents whose piece may be one of the items', with the words around them."""
+    schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("size", pa.int32()), ("at", pa.int32()), ("near", pa.list_(pa.int64()))])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.frombuffer(shared.value, np.uint8)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            best: dict[tuple[int, int], int] = {}
-            whole: dict[int, set[int]] = {}
             for part in words(batch.column(1).to_pylist(), "nfkc"):
                 owner = part.owner()
-                for size, (pieces, _, _) in items.by_size.items():
+                for size in sizes:
                     at = inside(part, size)
                     if not len(at):
                         continue
                     grams = windows(part.hashes, size)[at]
-                    first = np.searchsorted(pieces, grams)
-                    hit = np.flatnonzero(pieces[np.minimum(first, len(pieces) - 1)] == grams)
-                    last = np.searchsorted(pieces, grams[hit], side="right")
-                    for j, begin, end in zip(at[hit].tolist(), first[hit].tolist(), last.tolist()):
-                        d = owner[j]
-                        base = part.bounds[d]
-                        doc = int(ids[part.first + d])
-                        for item, edits in items.search(part.hashes[base : part.bounds[d + 1]], size, j - base, begin, end, whole.setdefault(doc, set())):
-                            if not edits:
-                                whole[doc].add(item)
-                            if edits < best.get((doc, item), 1 << 30):
-                                best[doc, item] = edits
-            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in best], pa.int64()), pa.array([k[1] for k in best], pa.int64()), pa.array(best.values(), pa.int32())], schema=_SCHEMA)
+                    spot = grams & np.uint64(bits - 1)
+                    hit = np.flatnonzero((wanted[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1)
+                    if not len(hit):
+                        continue
+                    at, grams = at[hit], grams[hit]
+                    doc = owner[at]
+                    low = np.maximum(part.bounds[doc], at + size - run - errors)
+                    high = np.minimum(part.bounds[doc + 1], at + run + errors)
+                    width = high - low
+                    ends = np.concatenate(([0], np.cumsum(width)))
+                    flat = part.hashes[np.arange(ends[-1]) - np.repeat(ends[:-1] - low, width)].view(np.int64)
+                    near = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[part.first + doc]), pa.array(grams.view(np.int64)), pa.array(np.full(len(at), size, np.int32)), pa.array((at - low).astype(np.int32)), near], schema=schema)
+
+    return scan
+
+
+def _verify(errors: int):
+    schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("edits", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            best: dict[tuple[int, int], int] = {}
+            doc, item, at, near, place, wide, around = (batch.column(i).to_pylist() for i in range(7))
+            for d, i, p, text, q, width, item_words in zip(doc, item, at, near, place, wide, around):
+                known = best.get((d, i), errors + 1)
+                if not known:
+                    continue
+                size = len(item_words)
+                # the stretch on both sides of the piece that agrees word for word
+                left = 0
+                while left < min(p, q) and text[p - left - 1] == item_words[q - left - 1]:
+                    left += 1
+                right = 0
+                while right < min(len(text) - p, size - q) and text[p + right] == item_words[q + right]:
+                    right += 1
+                if left + right >= width:
+                    best[d, i] = 0
+                    continue
+                for start in range(0, size - width + 1):
+                    masks: dict[int, int] = {}
+                    for j, word in enumerate(item_words[start : start + width]):
+                        masks[word] = masks.get(word, 0) | 1 << j
+                    low = max(0, p - (q - start) - errors)
+                    edits = myers(masks, width, text[low : p + width - (q - start) + errors])
+                    known = min(known, edits)
+                if known <= min(errors, width - 1):
+                    best[d, i] = known
+            yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in best], pa.int64()), pa.array([k[1] for k in best], pa.int64()), pa.array(best.values(), pa.int32())], schema=schema)
 
     return run
 
@@ -144,18 +165,24 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str =
     """``(doc_id, item_id, edits)``: the fewest word edits with which a run of the item occurs in the document."""
     spark = docs.sparkSession
     corpus = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
-    tests = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null and text is not null")
-    parts, ids, texts, size = [], [], [], 0
-
-    def scan() -> None:
-        shared = spark.sparkContext.broadcast(_Items(ids, texts, run, errors))
-        parts.append(corpus.mapInArrow(_scan(shared), "doc_id long, item_id long, edits int"))
-
-    for row in tests.toLocalIterator():
-        ids, texts, size = [*ids, row.item_id], [*texts, row.text], size + len(row.text) // 4 + 1
-        if size >= BLOCK_WORDS:
-            scan()
-            ids, texts, size = [], [], 0
-    if ids or not parts:
-        scan()
-    return reduce(DataFrame.unionByName, parts).groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
+    tests = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null and text is not null").distinct()
+    pieces = materialize(tests.mapInArrow(_pieces(run, errors), _PIECES).distinct(), "pieces")
+    hashes = pieces.groupBy("h", "size").agg(F.count("*").alias("n"))
+    known = hashes.groupBy("size").agg(F.count("*").alias("n")).collect()  # a row for each length of a piece, ``run`` at most
+    bits = min(FILTER_BITS, 1 << max(10, (sum(r.n for r in known) * BITS_PER_PIECE).bit_length()))
+    # the filter is made of bytes that the JVM puts together: at most bits / 8 of them
+    spot = F.col("h").bitwiseAND(F.lit(bits - 1))
+    byte = F.shiftright(spot, 3).cast("int").alias("byte")
+    parts = hashes.select(byte, F.expr("shiftleft(1, cast(h & 7 as int))").alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits"))
+    wanted = np.zeros(bits // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        wanted[r.byte] = r.bits
+    shared = spark.sparkContext.broadcast(wanted.tobytes())
+    places = corpus.mapInArrow(_places(sorted(r.size for r in known), bits, shared, run, errors), "doc_id long, h long, size int, at int, near array<long>")
+    # items of a piece in parts of PART, places of a part in as many; a place and a part meet once
+    shares = F.ceil(F.col("n") / PART).cast("int")
+    held = pieces.join(hashes.select("h", "size", shares.alias("shares")), ["h", "size"]).withColumn("share", F.pmod(F.xxhash64("item_id", "place"), F.col("shares")).cast("int"))
+    wide = hashes.select("h", "size", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
+    hits = places.distinct().join(wide, ["h", "size"]).join(held.drop("shares"), ["h", "size", "share"])
+    checked = hits.select("doc_id", "item_id", "at", "near", "place", "run", "around").mapInArrow(_verify(errors), "doc_id long, item_id long, edits int")
+    return checked.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
