@@ -8,10 +8,11 @@ some piece occurs exactly.  Documents are scanned once, whatever the size of the
 test set: a filter of all pieces, ``FILTER_BITS`` large at most, lets the places
 through that may hold one, each with the words around it.  Hits join the pieces
 by their hash, and each pair is verified with Myers' bit-parallel distance over
-words.  The items of a piece that very many have are held in parts of ``PART``;
-very many places of one piece are left to Spark's skew join, or need no shuffle
-where the pieces are few.  A document's places at the same distance from its
-begin of context and with the same words around them are one.
+words.  A run with at most ``errors`` edits keeps all but ``2 * errors`` of its
+pairs of neighbouring words, so a second filter, of all pairs of the items, drops
+places without enough of them around, whatever piece they hold.  The pieces are
+sent to the places if they are few (``session.hinted``); else both are shuffled,
+and many places of one piece are left to Spark's skew join.
 
 Defined results: null or wordless texts and items leak nothing; an item listed
 twice is reported once per distinct id; empty tables give an empty result;
@@ -28,13 +29,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from mnemoframe.llm.tokenhash import inside, windows, words
-from mnemoframe.session import materialize
+from mnemoframe.session import hinted, materialize
 
 RUN = 12
-#: Bits of the filter of pieces (2 MB when sent); 16 a piece, and above that size more places pass it and are dropped by the join.
+#: Bits of the filters of pieces and of pairs (2 MB each when sent); 16 a piece, and above that size more places pass and are dropped by the join.
 FILTER_BITS, BITS_PER_PIECE = 1 << 24, 16
-#: Items of one piece that meet a place in one row group of the join.
-PART = 64
 
 
 def myers(pattern: dict[int, int], size: int, text: list[int]) -> int:
@@ -93,23 +92,35 @@ def _pieces(run: int, errors: int):
     return cut
 
 
-def _places(sizes: list[int], bits: int, shared, run: int, errors: int):
+def _holds(wanted: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Whether each hash is in a filter; its size is a power of two."""
+    spot = hashes & np.uint64(8 * len(wanted) - 1)
+    return ((wanted[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1).astype(bool)
+
+
+def _places(shortest: dict[int, int], shared, run: int, errors: int):
     """Places of documents whose piece may be one of the items', with the words around them."""
     schema = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("size", pa.int32()), ("at", pa.int32()), ("near", pa.list_(pa.int64()))])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.frombuffer(shared.value, np.uint8)
+        wanted, wanted_pairs = (np.frombuffer(f, np.uint8) for f in shared.value)
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
             for part in words(batch.column(1).to_pylist(), "nfkc"):
                 owner = part.owner()
-                for size in sizes:
+                pairs = np.concatenate(([0], np.cumsum(_holds(wanted_pairs, windows(part.hashes, 2)))))
+                for size, width in sorted(shortest.items()):
                     at = inside(part, size)
                     if not len(at):
                         continue
                     grams = windows(part.hashes, size)[at]
-                    spot = grams & np.uint64(bits - 1)
-                    hit = np.flatnonzero((wanted[spot >> np.uint64(3)] >> (spot & np.uint64(7)).astype(np.uint8)) & 1)
+                    hit = np.flatnonzero(_holds(wanted, grams))
+                    if len(hit):  # some run around must keep its pairs, of the shortest that has such a piece
+                        most = np.zeros(len(hit), np.int64)
+                        for start in range(size - run - errors, 1):
+                            low = np.clip(at[hit] + start, 0, len(pairs) - 1)
+                            most = np.maximum(most, pairs[np.minimum(low + run - 1 + errors, len(pairs) - 1)] - pairs[low])
+                        hit = hit[most >= width - 1 - 2 * errors]
                     if not len(hit):
                         continue
                     at, grams = at[hit], grams[hit]
@@ -161,28 +172,35 @@ def _verify(errors: int):
     return run
 
 
+def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Hashes of the neighbouring words of the items."""
+    for batch in batches:
+        for part in words(batch.column(1).to_pylist(), "nfkc"):
+            found = windows(part.hashes, 2)[inside(part, 2)] if len(part.hashes) > 1 else np.empty(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(found).view(np.int64))], names=["h"])
+
+
+def _filter(hashes: DataFrame, rows: int) -> bytes:
+    """A filter of ``hashes(h)``, put together in the JVM: ``FILTER_BITS / 8`` bytes at most come back."""
+    bits = min(FILTER_BITS, 1 << max(10, (rows * BITS_PER_PIECE).bit_length()))
+    byte = F.shiftright(F.col("h").bitwiseAND(F.lit(bits - 1)), 3).cast("int").alias("byte")
+    parts = hashes.select(byte, F.expr("shiftleft(1, cast(h & 7 as int))").alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits"))
+    wanted = np.zeros(bits // 8, np.uint8)
+    for r in parts.toLocalIterator():
+        wanted[r.byte] = r.bits
+    return wanted.tobytes()
+
+
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text", run: int = RUN, errors: int = 1) -> DataFrame:
     """``(doc_id, item_id, edits)``: the fewest word edits with which a run of the item occurs in the document."""
     spark = docs.sparkSession
     corpus = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).filter("doc_id is not null and text is not null")
     tests = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).alias("text")).filter("item_id is not null and text is not null").distinct()
     pieces = materialize(tests.mapInArrow(_pieces(run, errors), _PIECES).distinct(), "pieces")
-    hashes = pieces.groupBy("h", "size").agg(F.count("*").alias("n"))
-    known = hashes.groupBy("size").agg(F.count("*").alias("n")).collect()  # a row for each length of a piece, ``run`` at most
-    bits = min(FILTER_BITS, 1 << max(10, (sum(r.n for r in known) * BITS_PER_PIECE).bit_length()))
-    # the filter is made of bytes that the JVM puts together: at most bits / 8 of them
-    spot = F.col("h").bitwiseAND(F.lit(bits - 1))
-    byte = F.shiftright(spot, 3).cast("int").alias("byte")
-    parts = hashes.select(byte, F.expr("shiftleft(1, cast(h & 7 as int))").alias("bit")).groupBy("byte").agg(F.bit_or("bit").alias("bits"))
-    wanted = np.zeros(bits // 8, np.uint8)
-    for r in parts.toLocalIterator():
-        wanted[r.byte] = r.bits
-    shared = spark.sparkContext.broadcast(wanted.tobytes())
-    places = corpus.mapInArrow(_places(sorted(r.size for r in known), bits, shared, run, errors), "doc_id long, h long, size int, at int, near array<long>")
-    # items of a piece in parts of PART, places of a part in as many; a place and a part meet once
-    shares = F.ceil(F.col("n") / PART).cast("int")
-    held = pieces.join(hashes.select("h", "size", shares.alias("shares")), ["h", "size"]).withColumn("share", F.pmod(F.xxhash64("item_id", "place"), F.col("shares")).cast("int"))
-    wide = hashes.select("h", "size", F.explode(F.sequence(F.lit(0), shares - 1)).alias("share"))
-    hits = places.distinct().join(wide, ["h", "size"]).join(held.drop("shares"), ["h", "size", "share"])
+    known = pieces.groupBy("size").agg(F.count_distinct("h").alias("n"), F.min("run").alias("shortest")).collect()  # a row for each length of a piece, ``run`` at most
+    total = sum(r.n for r in known)
+    shared = spark.sparkContext.broadcast((_filter(pieces.select("h"), total), _filter(tests.mapInArrow(_pairs, "h long"), total * run)))
+    places = corpus.mapInArrow(_places({r.size: r.shortest for r in known}, shared, run, errors), "doc_id long, h long, size int, at int, near array<long>")
+    hits = places.join(hinted(pieces), ["h", "size"])
     checked = hits.select("doc_id", "item_id", "at", "near", "place", "run", "around").mapInArrow(_verify(errors), "doc_id long, item_id long, edits int")
     return checked.groupBy("doc_id", "item_id").agg(F.min("edits").alias("edits"))
