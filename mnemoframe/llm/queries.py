@@ -164,8 +164,31 @@ WITH plain AS (
 """
 
 
+_P8 = r"""
+WITH d AS (SELECT doc_id, list_filter(string_split_regex(text, '[ \t\r\n]+'), lambda x: x <> '') AS w FROM documents WHERE text IS NOT NULL),
+r AS (SELECT doc_id, len(w) AS n, s, md5(array_to_string(w[s:s + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS s FROM d WHERE len(w) >= 50)),
+k AS (SELECT h FROM r GROUP BY h HAVING count(DISTINCT doc_id) > 1),
+c AS (SELECT doc_id, n, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 50 THEN 1 ELSE 0 END AS cut FROM r JOIN k USING (h)),
+g AS (SELECT doc_id, n, s, sum(cut) OVER (PARTITION BY doc_id ORDER BY s) AS island FROM c),
+f AS (SELECT doc_id, n, (min(s) - 1)::INT AS word_start, (max(s) + 49)::INT AS word_end FROM g GROUP BY doc_id, n, island)
+"""
+_P2 = r"""
+, grams AS (SELECT DISTINCT record_no, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELECT record_no, w, unnest(range(1, len(w) - 1)) AS i FROM (SELECT record_no, regexp_extract_all(lower(content), '[\p{L}\p{N}]+') AS w FROM cognee_data_record) WHERE len(w) > 2)),
+size AS (SELECT record_no, count(*) AS n FROM grams GROUP BY 1),
+met AS (SELECT a.record_no AS x, b.record_no AS y, count(*) AS c FROM grams a JOIN grams b ON a.g = b.g AND a.record_no < b.record_no GROUP BY ALL),
+pairs AS (SELECT x AS first_no, y AS dup_no FROM met JOIN size a ON a.record_no = x JOIN size b ON b.record_no = y WHERE 10 * c >= 7 * (a.n + b.n - c)
+  UNION ALL SELECT keep_no, no FROM grouped WHERE src = 'cognee_data_record' AND keep_no < no),
+firsts AS (SELECT min(first_no) AS first_no, dup_no FROM pairs JOIN cognee_data_record r ON r.record_no = dup_no WHERE batch_no >= 1 GROUP BY dup_no)
+"""
+
 def oracle_sql() -> dict[str, str]:
     return {
+        "p2_found": _P5_KEYS + _P2 + "SELECT first_no, dup_no FROM firsts",
+        "p2_add_results": _P5_KEYS + _P2 + """SELECT add_no, list_sort(coalesce(list(id) FILTER (WHERE dup_no IS NULL), [])) AS added, (count(*) FILTER (WHERE dup_no IS NULL))::INT AS added_count,
+            list_sort(coalesce(list(id) FILTER (WHERE dup_no IS NOT NULL), [])) AS deduplicated, (count(dup_no))::INT AS deduplicated_count
+          FROM cognee_data_record LEFT JOIN firsts ON dup_no = record_no WHERE batch_no >= 1 GROUP BY add_no""",
+        "p8_found": _P8 + "SELECT doc_id, word_start, word_end FROM f",
+        "p8_share": _P8 + "SELECT doc_id, n::INT AS n_words, sum(word_end - word_start)::BIGINT AS shared_words, round(sum(word_end - word_start) / n::DOUBLE, 6) AS share FROM f GROUP BY doc_id, n",
         "p5_found": _P5_KEYS + "SELECT src, keep_no, no AS copy_no FROM grouped WHERE keep_no < no",
         "p5_distinct": _P5_KEYS + "SELECT src, keep_no, copies FROM grouped WHERE keep_no = no",
     }
