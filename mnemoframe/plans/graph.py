@@ -29,7 +29,7 @@ def _triples(spark, sf) -> DataFrame:
 
 
 def _seeds(spark, sf) -> DataFrame:
-    return _nodes(spark, sf).filter("type = 'Entity' and is_a = 'product' and name like 's%'").select("id")
+    return _nodes(spark, sf).filter("type = 'Entity' and is_a = 'product'").select("id")
 
 
 def graph_filtered(spark, sf):
@@ -214,7 +214,7 @@ QUERIES = {
 _N = """n AS (SELECT id, name, type, properties->>'is_a' AS is_a, properties->>'place' AS place, properties->>'description' AS description, properties->>'text' AS body FROM graph_node),
 e AS (SELECT DISTINCT source_id, target_id, relationship_name FROM graph_edge),
 w AS (SELECT source_id AS id, target_id AS other FROM e WHERE source_id <> target_id UNION SELECT target_id, source_id FROM e WHERE source_id <> target_id),
-seeds AS (SELECT id FROM n WHERE type = 'Entity' AND is_a = 'product' AND name LIKE 's%')"""
+seeds AS (SELECT id FROM n WHERE type = 'Entity' AND is_a = 'product')"""
 _FK = """fk AS (SELECT 'nation:' || n_nationkey AS source_id, 'region:' || n_regionkey AS target_id, 'in_region' AS relationship_name FROM nation
 UNION ALL SELECT 'customer:' || c_custkey, 'nation:' || c_nationkey, 'in_nation' FROM customer UNION ALL SELECT 'supplier:' || s_suppkey, 'nation:' || s_nationkey, 'in_nation' FROM supplier
 UNION ALL SELECT 'orders:' || o_orderkey, 'customer:' || o_custkey, 'placed_by' FROM orders UNION ALL SELECT DISTINCT 'orders:' || l_orderkey, 'part:' || l_partkey, 'contains_part' FROM lineitem

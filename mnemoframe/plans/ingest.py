@@ -96,6 +96,19 @@ ORACLE = {
     "chunk_words": rf"""WITH p AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[^ {_END}]*(?:[{_END}] *| )|[^ {_END}]+$')) AS piece, generate_subscripts(regexp_extract_all(text, '[^ {_END}]*(?:[{_END}] *| )|[^ {_END}]+$'), 1) AS i FROM documents WHERE text IS NOT NULL),
       q AS (SELECT *, lead(piece) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM p)
       SELECT doc_id, (i - 1)::INT AS chunk_index, piece AS text, CASE WHEN NOT regexp_matches(piece, '[{_END}] *$') THEN 'word' WHEN nxt[1] IN (chr(10), chr(13)) THEN 'paragraph_end' ELSE 'sentence_end' END AS cut_type FROM q""",
+    "chunk_sentences": rf"""WITH p AS (SELECT doc_id, text, unnest(regexp_extract_all(text, '[^ {_END}]*(?:[{_END}] *| )|[^ {_END}]+$')) AS piece, generate_subscripts(regexp_extract_all(text, '[^ {_END}]*(?:[{_END}] *| )|[^ {_END}]+$'), 1) AS i FROM documents WHERE text IS NOT NULL),
+      q AS (SELECT *, lead(piece) OVER (PARTITION BY doc_id ORDER BY i) AS nxt FROM p),
+      k AS (SELECT *, CASE WHEN NOT regexp_matches(piece, '[{_END}] *$') THEN 'word' WHEN nxt[1] IN (chr(10), chr(13)) THEN 'paragraph_end' ELSE 'sentence_end' END AS kind, len(list_filter(string_split_regex(piece, '[\s\v\pZ\x1c-\x1f\x{{85}}]+'), lambda x: x <> '')) AS n FROM q),
+      g AS (SELECT *, coalesce(sum(CASE WHEN kind <> 'word' THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS s FROM k),
+      c AS (SELECT doc_id, s, sum(n) AS n, max(kind) FILTER (WHERE kind <> 'word') AS kind, bool_or(regexp_matches(piece, '\pL')) AS alpha, md5(string_agg(piece, '' ORDER BY i)) AS digest FROM g GROUP BY doc_id, s)
+      SELECT doc_id, s::INT AS chunk_index, n::INT AS chunk_size, CASE WHEN kind IS NOT NULL THEN kind WHEN alpha THEN 'sentence_cut' ELSE coalesce(lag(kind) OVER (PARTITION BY doc_id ORDER BY s), 'sentence_cut') END AS cut_type, digest FROM c""",
+    "chunk_rows": r"""WITH RECURSIVE r AS (SELECT record_no, unnest(string_split(content, chr(10) || chr(10))) AS body, generate_subscripts(string_split(content, chr(10) || chr(10)), 1) AS ri FROM cognee_data_record WHERE extension = 'csv'),
+      x AS (SELECT record_no, ri, unnest(string_split(body, ', ')) AS pair, generate_subscripts(string_split(body, ', '), 1) AS pi FROM r WHERE trim(body, ' ' || chr(9) || chr(10) || chr(13)) <> ''),
+      p AS (SELECT *, len(list_filter(string_split_regex(pair, '[\s\v\pZ\x1c-\x1f]+'), lambda w: w <> '')) AS n FROM x),
+      k AS (SELECT record_no, ri, pi, pair, n AS size, 0 AS c FROM p WHERE pi = 1 UNION ALL SELECT p.record_no, p.ri, p.pi, p.pair, CASE WHEN k.size + n > 24 THEN n ELSE k.size + n END, c + CASE WHEN k.size + n > 24 THEN 1 ELSE 0 END FROM k JOIN p ON p.record_no = k.record_no AND p.ri = k.ri AND p.pi = k.pi + 1),
+      g AS (SELECT record_no, ri, c, string_agg(pair, ', ' ORDER BY pi) AS text FROM k GROUP BY ALL)
+      SELECT record_no AS doc_id, (row_number() OVER (PARTITION BY record_no ORDER BY ri, c) - 1)::INT AS chunk_index, len(list_filter(string_split_regex(text, '[\s\v\pZ\x1c-\x1f]+'), lambda w: w <> ''))::INT AS chunk_size,
+        CASE WHEN c = max(c) OVER (PARTITION BY record_no, ri) THEN 'row_end' ELSE 'row_cut' END AS cut_type, md5(text) AS digest FROM g""",
     "chunk_losslessness": "SELECT doc_id, length(text) AS n_chars FROM documents WHERE text IS NOT NULL",
     "html_detect": r"SELECT doc_id, regexp_matches(coalesce(text, ''), '<[A-Za-z/]') AS is_html, nullif(trim(title, ' '), '') AS title FROM documents",
     "web_page_nodes": f"""WITH d AS (SELECT 'https://' || source || '/p/' || doc_id || '.txt' AS url, source FROM documents)

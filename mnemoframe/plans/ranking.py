@@ -128,11 +128,11 @@ def frequent_words(spark, sf):
 
 
 def truth_coords(spark, sf):
-    """Coordinates of every vector against the label means as basis, cut to eight."""
+    """Coordinates of every vector against the label means as basis."""
     e = table(spark, sf, "embeddings")
     dims = e.select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("m"))
     basis = dims.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "m"))).alias("s")).select(F.col("label").alias("slot"), F.transform("s", lambda z: z["m"]).alias("basis"))
-    return e.crossJoin(F.broadcast(basis)).select("vec_id", F.col("label").alias("own"), "slot", F.round(vector.cosine_or_zero(F.col("embedding"), F.col("basis")), 5).alias("coordinate")).filter("slot < 8")
+    return e.crossJoin(F.broadcast(basis)).select("vec_id", F.col("label").alias("own"), "slot", F.round(vector.cosine_or_zero(F.col("embedding"), F.col("basis")), 5).alias("coordinate"))
 
 
 def truth_factors(spark, sf):
@@ -214,7 +214,7 @@ ORACLE = {
     "truth_coords": """WITH d AS (SELECT label, i, avg(x::DOUBLE) AS m FROM (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) GROUP BY ALL),
       b AS (SELECT label AS slot, list(m ORDER BY i) AS basis FROM d GROUP BY label)
       SELECT vec_id, label AS own, slot, round(list_dot_product(embedding::DOUBLE[], basis) / (sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])) * sqrt(list_dot_product(basis, basis))), 5) AS coordinate
-      FROM embeddings, b WHERE slot < 8""",
+      FROM embeddings, b""",
     "truth_factors": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings), m AS (SELECT i, greatest(avg(x), 0) AS m FROM (SELECT unnest(v) AS x, generate_subscripts(v, 1) AS i FROM e) GROUP BY i), q AS (SELECT list(m ORDER BY i) AS w FROM m)
       SELECT vec_id, round(0.75::DOUBLE + 0.5::DOUBLE * CASE WHEN list_sum(w) > 0 THEN greatest(0, least(1, list_dot_product(v, w) / list_sum(w))) ELSE 0.5::DOUBLE END, 5) AS factor FROM e, q""",
 }

@@ -46,8 +46,7 @@ def edge_prompt(spark, sf):
 
 def markdown_export(spark, sf):
     n = _nodes(spark, sf).filter("type = 'Entity'")
-    e = _edges(spark, sf).filter("relationship_name = 'knows'")
-    return context.markdown("graph", n, e).filter("seq <> ''")
+    return context.markdown("graph", n, _edges(spark, sf)).filter("seq <> ''")
 
 
 def property_patch(spark, sf):
@@ -158,7 +157,7 @@ ORACLE = {
       SELECT source_id AS query_id, md5(string_agg(s.shown || ' --[' || relationship_name || ']--> ' || t.shown, chr(10) ORDER BY relationship_name || '/' || target_id)) AS digest FROM e JOIN n s ON s.id = source_id JOIN n t ON t.id = target_id
       WHERE source_id IN (SELECT id FROM graph_node WHERE properties->>'is_a' = 'place') GROUP BY 1""",
     "markdown_export": f"""WITH {_E} SELECT 1 AS section, id AS seq, '| ' || replace(replace(name, '|', '\\|'), chr(10), ' ') || ' | ' || type || ' |' AS line FROM graph_node WHERE type = 'Entity'
-      UNION ALL SELECT 2, source_id || '/' || relationship_name || '/' || target_id, '| ' || source_id || ' | ' || relationship_name || ' | ' || target_id || ' |' FROM e WHERE relationship_name = 'knows'""",
+      UNION ALL SELECT 2, source_id || '/' || relationship_name || '/' || target_id, '| ' || source_id || ' | ' || relationship_name || ' | ' || target_id || ' |' FROM e""",
     "property_patch": "SELECT id, '0.2' AS weight, 'thing' AS is_a, properties->>'place' AS place FROM graph_node WHERE type = 'Entity'",
     "session_log": "SELECT session_id, seq_no, max(message_no) AS message_no FROM messages GROUP BY 1, 2 HAVING coalesce(arg_max(coalesce(content, ''), message_no), '') <> ''",
     "feedback_writes": "SELECT CASE WHEN message_no % 8 BETWEEN 1 AND 5 THEN (message_no % 8)::INT END AS feedback_score, count(*) AS n FROM messages GROUP BY 1",

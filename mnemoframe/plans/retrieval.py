@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from mnemoframe.functions import ids, score, text, vector
 from mnemoframe.functions.fixed import TOP_K, WIDE_K
 from mnemoframe.operators import context, cypher, graph, improve, ontology, ranking, records, router, visual
+from mnemoframe.plans.ranking import tokens_sql
 from mnemoframe.session import hinted, materialize, table
 
 
@@ -326,7 +327,7 @@ def graph_triplet_ranking(spark, sf):
     relationships = records.index_rows(t.nodes.filter("false"), t.edges, lambda x: vector.deterministic_vector(x, 8))
     triplets = improve.memify(t.nodes.select("id", shown.alias("text")), t.edges, 8).withColumn("collection", F.lit("Triplet_text"))
     embedded = embedded.unionByName(relationships.select(*embedded.columns)).unionByName(triplets.select(*embedded.columns))
-    q = table(spark, sf, "eval_items").filter("suite = 'graph_reasoning'").select(F.col("item_id").alias("query_id"), "text", vector.deterministic_vector(F.col("text"), 8).alias("vector"))
+    q = table(spark, sf, "eval_items").select(F.col("item_id").alias("query_id"), "text", vector.deterministic_vector(F.col("text"), 8).alias("vector"))
     return search(Tables(t.nodes, t.edges, embedded), q, "GraphCompletion")
 
 
@@ -393,9 +394,14 @@ QUERIES = {
 }
 
 _V = "v AS (SELECT collection_name AS c, point_no::VARCHAR AS id, vector::DOUBLE[] AS x FROM vector_points WHERE len(vector) = dimension AND len(list_filter(vector, lambda z: isnan(z))) = 0 AND len(list_filter(vector, lambda z: z <> 0)) > 0)"
+_TEXT = "coalesce(nullif(name, ''), json_extract_string(properties, '$.text'))"
 _E = "e AS (SELECT DISTINCT source_id, target_id, relationship_name FROM graph_edge)"
 _KEY = "replace(replace(lower({0}), ' ', '_'), '''', '')"
 ORACLE = {
+    "lexical_chunks": f"""WITH q AS (SELECT DISTINCT item_id AS query_id, unnest({tokens_sql('text')}) AS token FROM eval_items), d AS (SELECT DISTINCT id, unnest({tokens_sql("json_extract_string(properties, '$.text')")}) AS token FROM graph_node WHERE type = 'DocumentChunk'),
+      c AS (SELECT query_id, id, count(*) AS k FROM q JOIN d USING (token) GROUP BY ALL), s AS (SELECT query_id, id, round(coalesce(k, 0) / (m + n - coalesce(k, 0)), 6) AS score FROM (SELECT query_id, count(*) AS m FROM q GROUP BY 1) CROSS JOIN (SELECT id, count(*) AS n FROM d GROUP BY 1) LEFT JOIN c USING (query_id, id))
+      SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1)::INT AS rank FROM s QUALIFY rank < 10""",
+    "memify_triplets": f"WITH {_E}, n AS (SELECT id, {_TEXT} AS text FROM graph_node) SELECT {ids.uuid5_sql(_KEY.format('source_id || relationship_name || target_id'))} AS id, md5(a.text || '-›' || relationship_name || '-›' || b.text) AS digest, 32::INT AS dimensions FROM e JOIN n a ON a.id = source_id JOIN n b ON b.id = target_id WHERE a.text IS NOT NULL AND b.text IS NOT NULL",
     "search_chunks": f"WITH {_V}, s AS (SELECT q.id AS query_id, a.id, round(list_dot_product(a.x, q.x) / greatest(sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(q.x, q.x)), 1.1920929e-07), 6) AS score FROM v a, v q WHERE a.c = 'DocumentChunk_text' AND q.c = 'TextSummary_text' AND q.id::BIGINT % 20 = 0) SELECT query_id, id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) - 1)::INT AS rank FROM s QUALIFY rank < 10",
     "feedback_weights": """WITH RECURSIVE k AS (SELECT DISTINCT x AS id FROM (SELECT unnest(edges) AS x FROM entity_results) WHERE NOT starts_with(x, 'knows')),
       r0 AS (SELECT DISTINCT r.id AS entry, query_no, unnest(edges) AS id FROM entity_results r WHERE query_no % 7 BETWEEN 1 AND 5),
