@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from mnemoframe.functions import score, text, vector
+from mnemoframe.functions import score, text
+from mnemoframe.functions.fixed import F32_EPSILON
 from mnemoframe.session import hinted, materialize
 
 
@@ -83,26 +88,80 @@ def lexical(corpus: DataFrame, queries: DataFrame, k: int = 10, multiset: bool =
     return top_k(best.unionByName(zeros), ["query_id"], k, F.desc("score"), F.asc("id"))
 
 
-#: Query vectors that are sent to every executor at once; more are taken in blocks of so many.
-QUERY_BLOCK = 20_000
+#: Query vectors that are sent to every executor at once; more are taken in blocks of about half as many.
+QUERY_BLOCK = 4096
+#: Scores that a task computes at a time.
+SCORES = 1 << 22
+
+
+def _scores(metric: str, x: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """Rounded scores (queries x points) of two matrices."""
+    if metric == "euclidean":
+        out = -np.sqrt(np.maximum((q * q).sum(axis=1)[:, None] + (x * x).sum(axis=1)[None, :] - 2 * (q @ x.T), 0))
+    else:
+        out = q @ x.T
+        if metric == "cosine":
+            out /= np.maximum(np.linalg.norm(q, axis=1)[:, None] * np.linalg.norm(x, axis=1)[None, :], F32_EPSILON)
+    return np.where(np.isnan(out), -np.inf, np.round(out, 6) + 0.0)
+
+
+def _scan(shared, metric: str, k: int, groups: int):
+    """Of each batch of points the ``k`` best of every query in each group, with all that tie with the last."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        query_ids, asked = shared.value
+        for batch in batches:
+            vectors = batch.column(groups + 1)
+            sizes = vectors.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+            flat = vectors.flatten().to_numpy(zero_copy_only=False)
+            starts = np.cumsum(np.maximum(sizes, 0)) - np.maximum(sizes, 0)
+            names = list(zip(*(batch.column(i).to_pylist() for i in range(groups)))) if groups else [()] * batch.num_rows
+            numbers = {n: i for i, n in enumerate(dict.fromkeys(names))}
+            code = np.array([numbers[n] for n in names], np.int64)
+            for d, (places, q) in asked.items():
+                of_size = np.flatnonzero(sizes == d)
+                for g in np.unique(code[of_size]):
+                    rows = of_size[code[of_size] == g]
+                    step = max(1, SCORES // len(places))
+                    for low in range(0, len(rows), step):
+                        mine = rows[low : low + step]
+                        score = _scores(metric, flat[starts[mine][:, None] + np.arange(d)], q)
+                        last = np.partition(score, -k, axis=1)[:, -k] if score.shape[1] > k else np.full(len(score), -np.inf)
+                        i, j = np.nonzero((score >= last[:, None]) & (score > -np.inf))
+                        at = pa.array(mine[j])
+                        yield pa.RecordBatch.from_arrays([query_ids.take(pa.array(places[i])), *(batch.column(c).take(at) for c in range(groups + 1)), pa.array(score[i, j])], names=["query_id", *batch.schema.names[: groups + 1], "score"])
+
+    return run
 
 
 def nearest(points: DataFrame, queries: DataFrame, k: int = 10, metric: str = "cosine", by: tuple[str, ...] = ()) -> DataFrame:
     """Exact top ``k`` points ``(query_id, id, score, rank)`` of each query vector, in each group of the columns ``by``.
 
     ``points`` has ``id, vector``, ``queries`` has ``query_id, vector``; the
-    stated queries are sent to the points in blocks of bounded size.
+    stated queries are sent to the points in blocks of bounded size, and each
+    batch of points meets a block in one matrix product.  Null vectors, those
+    of another length and scores that are no number find nothing.
     """
-    measure = {"cosine": vector.cosine, "dot": vector.dot, "euclidean": lambda a, b: -vector.euclidean(a, b)}[metric]
-    asked = queries.select("query_id", F.col("vector").alias("asked"))
+    spark = points.sparkSession
+    asked = queries.select("query_id", F.col("vector").cast("array<double>").alias("asked")).filter("asked is not null")
+    first = asked.limit(QUERY_BLOCK + 1).toArrow()
+    blocks = [first]
+    if first.num_rows > QUERY_BLOCK:
+        asked = materialize(asked, "queries")
+        n = -(-2 * asked.count() // QUERY_BLOCK)
+        blocks = (asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i).toArrow() for i in range(n))
+    held = points.select(*by, "id", F.col("vector").cast("array<double>").alias("vector"))
+    schema = T.StructType([T.StructField("query_id", queries.schema["query_id"].dataType), *(T.StructField(c, points.schema[c].dataType) for c in (*by, "id")), T.StructField("score", T.DoubleType())])
     parts = []
-    blocks = max(1, -(-asked.count() // QUERY_BLOCK))
-    for i in range(blocks):
-        mine = asked if blocks == 1 else asked.filter(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
-        pairs = points.crossJoin(F.broadcast(mine)).filter(F.size("vector") == F.size("asked"))
-        scored = pairs.select("query_id", *by, "id", F.round(measure(F.col("vector"), F.col("asked")), 6).alias("score"))
-        parts.append(top_k(scored, ["query_id", *by], k, F.desc("score"), F.asc("id")))
-    return reduce(DataFrame.unionByName, parts)
+    for block in blocks:
+        lists = block["asked"].to_pylist()
+        by_size: dict[int, list[int]] = {}
+        for i, v in enumerate(lists):
+            by_size.setdefault(len(v), []).append(i)
+        matrices = {d: (np.array(at), np.array([[np.nan if x is None else x for x in lists[i]] for i in at], float).reshape(len(at), d)) for d, at in by_size.items()}
+        shared = spark.sparkContext.broadcast((block["query_id"].combine_chunks(), matrices))
+        parts.append(top_k(held.mapInArrow(_scan(shared, metric, k, len(by)), schema), ["query_id", *by], k, F.desc("score"), F.asc("id")))
+    return reduce(DataFrame.unionByName, parts).select("query_id", *by, "id", "score", "rank")
 
 
 def limit_then_filter(points: DataFrame, queries: DataFrame, keep: Column, k: int = 10, window: int = 4096) -> DataFrame:

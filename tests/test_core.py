@@ -319,6 +319,19 @@ def test_queries_in_blocks_and_windows(spark, monkeypatch):
     assert {r.id for r in near} == {3, 5} and len(near) == 2
 
 
+def test_nearest_on_odd_vectors(spark):
+    from mnemoframe.operators import ranking
+
+    nan = float("nan")
+    points = spark.createDataFrame([("a", [1.0, 0.0], "x"), ("b", [1.0, 0.0], "x"), ("c", [0.0, 0.0], "y"), ("d", None, "x"), ("e", [nan, 1.0], "x"), ("f", [1.0], "y"), ("g", [0.0, 1.0], None)], "id string, vector array<float>, side string")
+    asked = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [])], "query_id int, vector array<float>")
+    got = [tuple(r) for r in ranking.nearest(points, asked, 3).orderBy("rank").collect()]
+    assert got == [(1, "a", 1.0, 0), (1, "b", 1.0, 1), (1, "c", 0.0, 2)]
+    by = {(r.side, r.id, r["rank"]) for r in ranking.nearest(points, asked, 1, by=("side",)).collect()}
+    assert by == {("x", "a", 0), ("y", "c", 0), (None, "g", 0)}
+    assert ranking.nearest(points.filter("false"), asked).count() == 0 and ranking.nearest(points, asked.filter("false")).count() == 0
+
+
 def test_store_is_opened_again(spark, tmp_path):
     from mnemoframe.sources.tables import Store
 
