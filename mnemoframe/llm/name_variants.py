@@ -236,12 +236,32 @@ def _normalise(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["id", "kind", "place", "said", "words"])
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """``materialize``, and the shuffle files behind the table go at once; else they stay until the driver happens to collect its garbage."""
+    conf, key = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    was = conf.get(key, "false")
+    conf.set(key, "true")
+    try:
+        return materialize(df, name)
+    finally:
+        conf.set(key, was)
+
+
+def _drop(stored: DataFrame) -> None:
+    """Remove a table of ``_stored`` that nothing reads any more."""
+    spark = stored.sparkSession
+    for file in stored.inputFiles()[:1]:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(file).getParent()
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def _placed(named: DataFrame) -> DataFrame:
     """Rows without a place of their own get the first one that their description names, places being what rows state."""
-    known = named.filter("place is not null").select(F.col("place").alias("found")).distinct()
-    told = named.filter("place is null and size(said) > 0").select("id", F.posexplode("said").alias("at", "found")).join(known, "found")
+    stated, open_ = named.filter("place is not null").drop("said"), named.filter("place is null")
+    known = stated.select(F.col("place").alias("found")).distinct()
+    told = open_.filter("size(said) > 0").select("id", F.posexplode("said").alias("at", "found")).join(known, "found")
     first = told.groupBy("id").agg(F.min_by("found", "at").alias("found"))
-    return named.join(first, "id", "left").select("id", "kind", F.coalesce("place", "found").alias("place"), "words")
+    return stated.unionByName(open_.join(first, "id", "left").select("id", "kind", F.col("found").alias("place"), "words"))
 
 
 def _structure(lexicon):
@@ -286,18 +306,26 @@ def _apart(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([distance(x, y, 3) for x, y in zip(a, b)], dtype="int32")
 
 
+def _merged(keys: DataFrame) -> DataFrame:
+    """A side of exploded delete keys, never to be broadcast: the optimizer takes it to be as small as the words, and their number grows with the input."""
+    return keys.hint("merge")
+
+
 def _centres(roots: DataFrame, scope: list[str]) -> DataFrame:
     """Map each root of a scope to the top of its chain of ever more frequent near roots: ``(scope..., root, centre)``."""
     keyed = roots.select(*scope, "root", "n", F.explode(_delete_keys("root")).alias("d"))
     other = keyed.select(*scope, "d", F.col("root").alias("near"), F.col("n").alias("near_n"))
     higher = F.expr("near_n > n or (near_n = n and near < root)")
-    pairs = keyed.join(other, [*scope, "d"]).filter(higher & (F.levenshtein("root", "near", 4) >= 0)).select(*scope, "root", "near", "near_n").distinct()
-    close = pairs.filter(_apart("root", "near") <= F.when(F.least(F.length("root"), F.length("near")) > LONG, EDITS).otherwise(1))
+    allowed = F.when(F.least(F.length("root"), F.length("near")) > LONG, EDITS).otherwise(1)
+    # a swap is one edit here and two of Levenshtein's
+    pairs = keyed.join(_merged(other), [*scope, "d"]).filter(higher & F.levenshtein("root", "near", 2 * EDITS).between(0, 2 * allowed)).select(*scope, "root", "near", "near_n").distinct()
+    close = pairs.filter(_apart("root", "near") <= allowed)
     up = close.groupBy(*scope, "root").agg(F.max_by("near", F.struct("near_n", "near")).alias("centre"))
-    top = materialize(roots.select(*scope, "root").join(up, [*scope, "root"], "left").select(*scope, "root", F.coalesce("centre", "root").alias("centre")), "centres")
+    top = _stored(roots.select(*scope, "root").join(up, [*scope, "root"], "left").select(*scope, "root", F.coalesce("centre", "root").alias("centre")), "centres")
     while True:  # every round doubles the length of the chains that are followed
         next_ = top.select(*scope, F.col("root").alias("centre"), F.col("centre").alias("top"))
-        jumped = materialize(top.join(next_, [*scope, "centre"]).select(*scope, "root", "top", F.col("centre").alias("was")), "centres")
+        jumped = _stored(top.join(next_, [*scope, "centre"]).select(*scope, "root", "top", F.col("centre").alias("was")), "centres")
+        _drop(top)
         top = jumped.select(*scope, "root", F.col("top").alias("centre"))
         if jumped.filter("top <> was").isEmpty():
             return top
@@ -395,12 +423,14 @@ def same_names(rows: DataFrame) -> DataFrame:
     """
     spark = rows.sparkSession
     read = rows.select("id", "name", "kind", "place", "description").filter("id is not null").mapInPandas(_normalise, "id string, kind string, place string, said array<string>, words array<string>")
-    named = materialize(_placed(materialize(read, "read")), "names")
+    read = _stored(read, "read")
+    named = _stored(_placed(read), "names")
+    _drop(read)
     # neighbours of a token in the names, at most two per place it stands in
     long = F.filter("words", lambda w: F.length(w) > 1)
     near = named.select(long.alias("w")).distinct().select(F.explode(F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 2, F.lit(0))), lambda i: F.struct(F.get("w", i).alias("a"), F.get("w", i + 1).alias("b")))).alias("p")).filter("p.b is not null")
     sides = near.select(F.col("p.a").alias("t"), F.col("p.b").alias("o")).unionByName(near.select(F.col("p.b").alias("t"), F.col("p.a").alias("o"))).filter("length(t) > 2 and length(o) > 2").distinct()
-    counts = materialize(sides.groupBy("t").count(), "neighbours")
+    counts = _stored(sides.groupBy("t").count(), "neighbours")
     most = counts.agg(F.max("count")).first()[0] or 0
     # at most 2 * distinct names / LEAST words, in practice a few hundred
     common = {r.t: r["count"] for r in counts.filter(F.col("count") >= max(LEAST, SHARE * most)).collect()}
@@ -409,23 +439,32 @@ def same_names(rows: DataFrame) -> DataFrame:
     lexicon = spark.sparkContext.broadcast(Lexicon(common, {r.t: r.kind for r in told.collect()}))
     plain = named.select("kind", "place", "words").groupBy("kind", "place", "words").agg(F.count("*").alias("n"))
     shape = plain.mapInPandas(_structure(lexicon), "kind string, place string, spelling string, root string, other array<string>, initials string, acronym string, bare string, n long")
-    forms = materialize(shape, "forms")
-    whole = forms.filter("root <> ''")
-    spellings = whole.groupBy("kind", "place", "root", "spelling", "other", "initials").agg(F.sum("n").alias("n"))
+    forms = _stored(shape, "forms")
+    number = lambda kind: F.sum(F.when(F.col("kind").eqNullSafe(kind), F.col("n")))
+    spelt = forms.filter("root <> ''").groupBy("place", "root", "spelling", "other", "initials").agg(number("person").alias("person"), number("organization").alias("organization"), number(None).alias("untold"))
     # a kind that neither the row nor the name tells: the one the same root has elsewhere
-    kinds = spellings.filter("kind is not null").groupBy("root").agg(F.max_by("kind", "n").alias("kind_there"))
-    spellings = materialize(spellings.join(kinds, "root", "left").withColumn("kind", F.coalesce("kind", "kind_there", F.lit("person"))).groupBy("kind", "place", "root", "spelling", "other", "initials").agg(F.sum("n").alias("n")), "spellings")
+    open_ = spelt.filter("untold is not null")
+    kinds = spelt.filter("person is not null or organization is not null").join(open_.select("root").distinct(), "root", "left_semi")
+    kinds = kinds.groupBy("root").agg((F.coalesce(F.max("organization"), F.lit(0)) > F.coalesce(F.max("person"), F.lit(0))).alias("firm"))
+    given = {kind: F.when(F.coalesce("firm", F.lit(False)) == F.lit(kind == "organization"), F.coalesce(kind, F.lit(0)) + F.col("untold")).otherwise(F.col(kind)) for kind in ("person", "organization")}
+    spelt = spelt.filter("untold is null").drop("untold").unionByName(open_.join(kinds, "root", "left").withColumns(given).drop("untold", "firm"))
+    spelt = spelt.withColumn("k", F.explode(F.array(*(F.struct(F.lit(kind).alias("kind"), F.col(kind).alias("n")) for kind in given)))).filter("k.n is not null")
+    spellings = _stored(spelt.select("k.kind", "place", "root", "spelling", "other", "initials", "k.n"), "spellings")
+    rest = _stored(forms.filter("root = ''"), "rest")
+    _drop(forms)
     placed = spellings.filter("place is not null")
     centres = _centres(placed.groupBy("kind", "place", "root").agg(F.sum("n").alias("n")), ["kind", "place"])
     grouped = placed.join(centres, ["kind", "place", "root"]).repartition("kind", "place", "centre").sortWithinPartitions("kind", "place", "centre")
-    parts = materialize(grouped.select("kind", "place", "centre", "root", "spelling", "other", "initials", "n").mapInPandas(_split, "kind string, place string, centre string, root string, spelling string, other array<string>, initials string, part int"), "parts")
+    parts = _stored(grouped.select("kind", "place", "centre", "root", "spelling", "other", "initials", "n").mapInPandas(_split, "kind string, place string, centre string, root string, spelling string, other array<string>, initials string, part int"), "parts")
+    _drop(centres)
     entity = F.concat_ws("|", "kind", "place", "centre", "part")
     known = parts.withColumn("entity", entity)
     # names without a place: entities of the same or a near root whose other words fit
-    free = spellings.filter("place is null")
+    free = _stored(spellings.filter("place is null"), "free")
+    _drop(spellings)
     keys = free.select("kind", "root").distinct().withColumn("d", F.explode(_delete_keys("root")))
     targets = known.select("kind", F.col("centre").alias("target")).distinct().withColumn("d", F.explode(_delete_keys("target")))
-    reach = keys.join(targets, ["kind", "d"]).filter(F.levenshtein("root", "target", 4) >= 0).select("kind", "root", "target").distinct().withColumn("far", _apart("root", "target")).filter("far <= 1 or (far = 2 and length(root) > 7)")
+    reach = keys.join(_merged(targets), ["kind", "d"]).filter(F.levenshtein("root", "target", 4) >= 0).select("kind", "root", "target").distinct().withColumn("far", _apart("root", "target")).filter("far <= 1 or (far = 2 and length(root) > 7)")
     shown = known.select("kind", F.col("centre").alias("target"), "entity", F.col("other").alias("shown"), F.col("root").alias("spelt")).distinct()
     offers = free.select("kind", "root", "spelling", "other").join(reach, ["kind", "root"]).join(shown, ["kind", "target"])
     offers = offers.withColumn("fit", _fit("kind", "other", "shown") - F.col("far") * 0.5).filter("fit > -0.9")
@@ -433,23 +472,23 @@ def same_names(rows: DataFrame) -> DataFrame:
     best = offers.groupBy("kind", "root", "spelling", "entity").agg(F.max("fit").alias("fit"))
     top = best.withColumn("r", F.rank().over(Window.partitionBy("kind", "root", "spelling").orderBy(F.desc("fit"))))
     single = top.filter("r = 1").groupBy("kind", "root", "spelling").agg(F.count("*").alias("n"), F.min("entity").alias("entity")).filter("n = 1").drop("n")
-    joined = materialize(single, "joined")
+    joined = _stored(single, "joined")
     lone = free.join(joined, ["kind", "root", "spelling"], "left_anti").withColumn("place", F.lit(""))
     lone_centres = _centres(lone.groupBy("kind", "place", "root").agg(F.sum("n").alias("n")), ["kind", "place"])
     lone = lone.join(lone_centres, ["kind", "place", "root"]).repartition("kind", "place", "centre").sortWithinPartitions("kind", "place", "centre")
     lone = lone.select("kind", "place", "centre", "root", "spelling", "other", "initials", "n").mapInPandas(_split, "kind string, place string, centre string, root string, spelling string, other array<string>, initials string, part int").withColumn("entity", entity)
     # initials alone: the organisation of that place with those initials
-    short = forms.filter("acronym is not null and place is not null").select("spelling", "place", "acronym").distinct()
+    short = rest.filter("acronym is not null and place is not null").select("spelling", "place", "acronym").distinct()
     short = short.withColumn("initials", F.explode(F.array(F.col("acronym"), F.expr("left(acronym, length(acronym) - 1)"))))  # the legal form may be left out
     firms = known.filter("kind = 'organization' and length(initials) > 1").select("place", "initials", "entity").distinct()
-    fitting = materialize(short.join(firms, ["place", "initials"]).groupBy("spelling", "place").agg(F.count_distinct("entity").alias("n"), F.min("entity").alias("entity")), "fitting")
+    fitting = _stored(short.join(firms, ["place", "initials"]).groupBy("spelling", "place").agg(F.count_distinct("entity").alias("n"), F.min("entity").alias("entity")), "fitting")
     named_by = fitting.filter("n = 1").drop("n")
     # names without a root: equal levelled words
-    bare = forms.filter("bare is not null").select("kind", "place", "spelling", "bare", "acronym").distinct()
+    bare = rest.filter("bare is not null").select("kind", "place", "spelling", "bare", "acronym").distinct()
     told_there = bare.filter("kind is not null").groupBy("bare").agg(F.max("kind").alias("kind_there"))
     bare = bare.join(told_there, "bare", "left").withColumn("kind", F.coalesce("kind", "kind_there", F.lit("person"))).drop("kind_there").distinct()
     stated = bare.filter("place is not null").join(fitting, ["spelling", "place"], "left").filter("n is null or n = 1")
-    stated = materialize(stated.withColumn("entity", F.coalesce("entity", F.concat_ws("|", "kind", "place", F.lit("="), "bare"))).select("spelling", "place", "kind", "bare", "entity"), "bare")
+    stated = _stored(stated.withColumn("entity", F.coalesce("entity", F.concat_ws("|", "kind", "place", F.lit("="), "bare"))).select("spelling", "place", "kind", "bare", "entity"), "bare")
     unstated = bare.filter("place is null").withColumn("initials", F.explode(F.array(F.coalesce("acronym", F.lit("")), F.coalesce(F.expr("left(acronym, length(acronym) - 1)"), F.lit("")))))
     several = unstated.join(firms.select("initials").distinct(), "initials", "left_semi").select("spelling").distinct()
     one = stated.groupBy("kind", "bare").agg(F.count_distinct("entity").alias("n"), F.min("entity").alias("entity")).filter("n = 1").drop("n")
@@ -463,15 +502,17 @@ def same_names(rows: DataFrame) -> DataFrame:
         .unionByName(stated.select("spelling", "place", "kind", "entity"))
         .unionByName(unstated)
     )
-    where = materialize(where.groupBy("spelling", "place", "kind").agg(F.min("entity").alias("entity")), "where")
+    of = lambda kind: F.min(F.when(F.col("kind") == kind, F.col("entity")))
+    where = _stored(where.groupBy("spelling", "place").agg(of("person").alias("person"), of("organization").alias("organization"), F.min("entity").alias("any_entity")), "where")
+    for stored in (parts, free, rest, joined, fitting, stated):
+        _drop(stored)
     asked = named.select("id", F.array_join("words", " ").alias("spelling"), F.coalesce("place", F.lit("")).alias("place"), "kind").dropDuplicates(["id"])
-    any_kind = where.groupBy("spelling", "place").agg(F.min("entity").alias("any_entity"))
-    found = asked.join(where, ["spelling", "place", "kind"], "left").join(any_kind, ["spelling", "place"], "left")
-    return found.select("id", F.coalesce("entity", "any_entity").alias("entity")).filter("entity is not null")
+    entity = F.coalesce(F.when(F.col("kind") == "person", F.col("person")).when(F.col("kind") == "organization", F.col("organization")), "any_entity")
+    return asked.join(where, ["spelling", "place"]).select("id", entity.alias("entity")).filter("entity is not null")
 
 
 def same_name_pairs(rows: DataFrame) -> DataFrame:
     """All pairs of different rows that name the same person or organisation: ``(id_a, id_b)``."""
-    linked = materialize(same_names(rows), "linked")
+    linked = _stored(same_names(rows), "linked")
     a, b = linked.select("entity", F.col("id").alias("id_a")), linked.select("entity", F.col("id").alias("id_b"))
     return a.join(b, "entity").filter("id_a < id_b").select("id_a", "id_b")

@@ -1,6 +1,7 @@
 """The training-data operators on small cases: brute force, dirty rows, ties, empty tables."""
 
 import itertools
+import os
 import re
 import unicodedata
 
@@ -304,6 +305,33 @@ def test_a_chain_of_spellings_leads_to_one_centre(spark):
     assert rows(name_variants._centres(roots, ["kind", "place"]), "centre") == {(chain[0],)}
 
 
+def test_delete_keys_are_never_broadcast(spark, monkeypatch):
+    """The optimizer estimates exploded keys by the words' file, so a plain join would send them to the driver."""
+    roots = spark.createDataFrame([("person", "p", f"kolvemaht{i}", i) for i in range(50)], "kind string, place string, root string, n long")
+    plans, kept = [], name_variants.materialize
+    roots = kept(roots, "roots")
+    monkeypatch.setattr(name_variants, "materialize", lambda df, name: (plans.append(df._jdf.queryExecution().executedPlan().toString()), kept(df, name))[1])
+    name_variants._centres(roots, ["kind", "place"])
+    by_key = re.findall(r"(\w+Join) \[kind#\d+, place#\d+, d#\d+", plans[0])
+    assert by_key and set(by_key) == {"SortMergeJoin"}
+
+
+def test_tables_that_are_done_with_are_removed(spark, monkeypatch):
+    """Of what is stored on the way only the tables that the result reads stay."""
+    paths, kept = [], name_variants.materialize
+
+    def stored(df, name):
+        out = kept(df, name)
+        paths.append((name, out.inputFiles()[:1]))
+        return out
+
+    monkeypatch.setattr(name_variants, "materialize", stored)
+    found = name_variants.same_names(spark.createDataFrame(_others(), _NAMED))
+    exist = {name for name, files in paths for f in files if os.path.exists(f.removeprefix("file://"))}
+    assert {"names", "where"} <= exist and not exist & {"read", "forms", "spellings", "parts", "free", "rest"}
+    assert found.count() == len(_others())
+
+
 def test_assignment_is_optimal_at_every_length():
     rng = np.random.default_rng(8)
     for _ in range(60):
