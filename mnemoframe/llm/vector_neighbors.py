@@ -36,12 +36,14 @@ from mnemoframe.session import materialize
 SAMPLE = 8192
 #: Average number of rows wanted in a bucket, and the substring lengths allowed.
 BUCKET, MIN_BITS, MAX_BITS = 1000, 6, 24
-#: A bucket that is expected to hold more rows than this is cut by further bits of the code, so that no dense cluster is one task.
+#: A bucket that is expected to hold more rows than this is compared in tiles of about so many, so that no dense cluster is one task.
 SPLIT = 16_000
 #: Wanted probability that a pair at exactly the smallest similarity shares a bucket.
 RECALL = 0.98
 #: Bits of the code that is compared inside a bucket, and the deviations from the expected difference that are let through.
 CODE, SLACK = 256, 2.5
+#: Entries of overfull buckets in one batch at most (or those of one row).
+TILE_ENTRIES = 500_000
 #: Bytes that one task of the bucket comparison should read.
 TASK_BYTES = 48 << 20
 
@@ -116,10 +118,11 @@ def plan_tables(rows: int, min_similarity: float, recall: float = RECALL) -> tup
 
 
 def deeper_keys(code: np.ndarray, bits: int, tables: int, rows: int, split: int = SPLIT) -> dict[int, tuple[np.ndarray, np.ndarray]]:
-    """Buckets that a sample's ``code`` shows to be overfull among ``rows`` rows: per table their keys and how many more bits they take.
+    """Buckets that a sample's ``code`` shows to be overfull among ``rows`` rows: per table their keys and the number of groups they are parted in.
 
-    A bucket that eight rows of the sample do not show holds at most about
-    ``8 * rows / SAMPLE`` rows.
+    Every two groups of a bucket are compared as one tile, so a pair is found
+    or not whatever the number of groups.  A bucket that eight rows of the
+    sample do not show holds at most about ``8 * rows / SAMPLE`` rows.
     """
     weights, out = (1 << np.arange(bits)).astype(np.int64), {}
     for t in range(tables):
@@ -127,10 +130,22 @@ def deeper_keys(code: np.ndarray, bits: int, tables: int, rows: int, split: int
         share = n * (rows / max(1, len(code)))
         hot = (n >= 8) & (share > split)
         if hot.any():
-            out[t] = keys[hot], np.minimum(30, np.ceil(np.log2(share[hot] / min(split, BUCKET)))).astype(np.int64)
+            out[t] = keys[hot], np.ceil(2 * share[hot] / split).astype(np.int64)
     return out
 
 
+def _tiles(rows: np.ndarray, own: np.ndarray, groups: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of overfull buckets, with a tile number from 1 for each of the tiles they lie in: one for each other group of the bucket."""
+    for low in range(0, len(rows), step := max(1, TILE_ENTRIES // max(1, int(groups.max(initial=1))))):
+        r, g = rows[low : low + step], groups[low : low + step]
+        group = (own[low : low + step].view(np.uint64) % g.astype(np.uint64)).astype(np.int64)
+        times = g - 1
+        other = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+        r, g, group = np.repeat(r, times), np.repeat(g, times), np.repeat(group, times)
+        other += other >= group
+        yield r, np.minimum(group, other) * g + np.maximum(group, other)
+
+
 def _entries(models, bits: int, tables: int):
     schema = pa.schema([("bucket", pa.int64()), ("cls", pa.int64()), *((f"f{i}", pa.int64()) for i in range(CODE // 64))])
     weights = (1 << np.arange(bits)).astype(np.int64)
@@ -146,17 +161,23 @@ def _entries(models, bits: int, tables: int):
                 rotation, deeper = models.value[d]
                 code = x @ rotation > 0
                 keys = code[:, : bits * tables].reshape(len(rows), tables, bits) @ weights
-                more = np.zeros(keys.shape, np.uint64)
-                for t, (hot, depth) in deeper.items():  # the bits that follow the table's own ones
-                    at = np.minimum(np.searchsorted(hot, keys[:, t]), len(hot) - 1)
-                    own_depth = np.where(hot[at] == keys[:, t], depth[at], 0)
-                    next_bits = np.take(code, np.arange((t + 1) * bits, (t + 1) * bits + depth.max()) % code.shape[1], axis=1)
-                    used = next_bits & (np.arange(next_bits.shape[1]) < own_depth[:, None])
-                    more[:, t] = (used @ (1 << np.arange(next_bits.shape[1])).astype(np.int64)).astype(np.uint64)
-                keys = keys.astype(np.uint64) + (np.arange(tables, dtype=np.uint64) << np.uint64(32)) + more * np.uint64(0xD6E8FEB86659FD93)
-                keys = (keys * np.uint64(0x9E3779B97F4A7C15) ^ space[rows][:, None]).ravel().view(np.int64)
+                keys = keys.astype(np.uint64) + (np.arange(tables, dtype=np.uint64) << np.uint64(32))
                 f = np.packbits(code[:, -CODE:], axis=1).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.repeat(own[rows], tables)), *(pa.array(np.repeat(f[:, i], tables)) for i in range(f.shape[1]))], schema=schema)
+                cls, salt, whole = own[rows], space[rows], np.ones(keys.shape, bool)
+
+                def entries(at: np.ndarray, key: np.ndarray) -> pa.RecordBatch:
+                    key = (key * np.uint64(0x9E3779B97F4A7C15) ^ salt[at]).view(np.int64)
+                    return pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls[at]), *(pa.array(f[at, i]) for i in range(f.shape[1]))], schema=schema)
+
+                for t, (hot, groups) in deeper.items():
+                    own_key = (keys[:, t] & np.uint64(0xFFFFFFFF)).astype(np.int64)
+                    near = np.minimum(np.searchsorted(hot, own_key), len(hot) - 1)
+                    full = np.flatnonzero(hot[near] == own_key)
+                    whole[full, t] = False
+                    for at, tile in _tiles(full, cls[full], groups[near[full]]):
+                        yield entries(at, keys[at, t] + tile.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+                at, t = np.nonzero(whole)
+                yield entries(at, keys[at, t])
 
     return run
 
@@ -226,9 +247,9 @@ def _cosine(floor: float):
 def similar_pairs(points: DataFrame, min_similarity: float = 0.8, recall: float = RECALL, split: int = SPLIT) -> tuple[DataFrame, DataFrame]:
     """Pairs of direction classes ``(a, b, similarity)`` and the members ``(cls, no)`` of every class.
 
-    ``points`` is the result of ``usable_vectors``.  In a cluster so dense that
-    its buckets are cut (``split``) pairs at the smallest similarity may be
-    missed, as they also have to agree in the further bits; the nearest are not.
+    ``points`` is the result of ``usable_vectors``.  ``split`` bounds a task,
+    not the result: a bucket of more rows is compared whole, in tiles, at a cost
+    that grows with the square of its rows.
     """
     spark = points.sparkSession
     rows = materialize(points.groupBy("no").agg(F.min("coll").alias("coll"), F.min("dim").alias("dim"), F.min("cls").alias("cls")), "classes")
@@ -238,17 +259,18 @@ def similar_pairs(points: DataFrame, min_similarity: float = 0.8, recall: float
         return spark.createDataFrame([], "a long, b long, similarity double"), members
     largest, total = max(r.largest for r in sizes), sum(r.rows for r in sizes)
     bits, tables = plan_tables(largest, min_similarity, recall)
-    models = {}
+    models, entries = {}, total * tables
     for r in sizes:
         share = F.pmod(F.xxhash64("no"), F.lit(1_000_000)) < min(1_000_000, math.ceil(1_000_000 * SAMPLE / r.rows))
         sample = points.filter((F.col("dim") == r.dim) & share).select("vector").limit(SAMPLE).toArrow()["vector"].combine_chunks()
         x = sample.flatten().to_numpy(zero_copy_only=False).reshape(-1, r.dim).astype(np.float64)
         rotation = learn_rotation(x, max(CODE, bits * tables))
         models[r.dim] = rotation, deeper_keys(x @ rotation > 0, bits, tables, r.rows, split)
+        entries += sum(int((groups * (groups - 2)).sum()) * split // 2 for _, groups in models[r.dim][1].values())
     shared = spark.sparkContext.broadcast(models)  # as many matrices as there are dimensions
     fields = ", ".join(f"f{i} long" for i in range(CODE // 64))
     coded = points.select(F.xxhash64("coll", "dim").alias("space"), "cls", "dim", "vector").mapInArrow(_entries(shared, bits, tables), f"bucket long, cls long, {fields}")
-    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(total * tables * 56 / TASK_BYTES))
+    tasks = max(spark.sparkContext.defaultParallelism, math.ceil(entries * 56 / TASK_BYTES))
     pairs = materialize(coded.repartition(tasks, "bucket").mapInArrow(_compare(math.acos(min_similarity) / math.pi), "a long, b long"), "pairs").distinct()
     vectors = points.groupBy("cls").agg(F.first("vector").alias("vector"))
     both = pairs.join(vectors.select(F.col("cls").alias("a"), F.col("vector").alias("x")), "a").join(vectors.select(F.col("cls").alias("b"), F.col("vector").alias("y")), "b")

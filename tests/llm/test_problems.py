@@ -99,6 +99,29 @@ def test_a_dense_cluster_is_cut(spark):
     assert len(exact & found) >= 0.9 * len(exact) and len(exact) > 500
 
 
+def test_cutting_a_bucket_changes_no_result(spark):
+    rng = np.random.default_rng(9)
+    d, n = 32, 600
+    x = np.concatenate([rng.normal(size=d) + 0.6 * rng.normal(size=(n, d)), rng.normal(size=(n, d))])
+    df = spark.createDataFrame([(i, "a", d, [float(v) for v in r]) for i, r in enumerate(x)], "point_no long, collection_name string, dimension int, vector array<float>")
+    usable = vector_neighbors.usable_vectors(df)
+    code = x @ vector_neighbors.learn_rotation(x, 60) > 0
+    assert vector_neighbors.deeper_keys(code, 6, 10, len(x), split=20)
+    whole, cut = (rows(vector_neighbors.nearest(usable, 10, 0.8, split=split), "no", "neighbour_no", "rank") for split in (1 << 40, 20))
+    assert len(whole) > 4000 and cut == whole
+
+
+def test_any_two_rows_of_a_bucket_share_a_tile():
+    own = np.random.default_rng(3).integers(-(1 << 62), 1 << 62, 60)
+    for groups in (3, 7):
+        tiles = {}
+        for at, tile in vector_neighbors._tiles(np.arange(60), own, np.full(60, groups)):
+            for r, k in zip(at.tolist(), tile.tolist()):
+                tiles.setdefault(k, set()).add(r)
+        assert {p for t in tiles.values() for p in itertools.combinations(sorted(t), 2)} == set(itertools.combinations(range(60), 2))
+        assert len(tiles) == groups * (groups - 1) // 2
+
+
 def test_more_rows_take_longer_keys():
     assert vector_neighbors.plan_tables(10_000, 0.8)[0] <= vector_neighbors.plan_tables(10_000_000, 0.8)[0]
 
